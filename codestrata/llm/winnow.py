@@ -89,11 +89,11 @@ def with_next(df: DataFrame, order: str, columns: list[str]) -> DataFrame:
     first = F.array_contains(F.element_at(F.array(*map(longs, groups)), F.floor((F.col(at) - 1) / GROUPS).cast("int") + 1), key)
     before = F.when(F.col(at) == 1, F.lit(len(bounds))).otherwise(F.col(at) - 1)
     copies = F.when(first, F.array(F.struct(F.col(at).alias("b"), F.lit(0).alias("s")), F.struct(before.alias("b"), F.lit(1).alias("s")))).otherwise(F.array(F.struct(F.col(at).alias("b"), F.lit(0).alias("s"))))
-    dealt = df.withColumn(at, F.explode(copies))
-    by = Window.partitionBy(f"{at}.b").orderBy(f"{at}.s", key)
-    for c in columns:
-        dealt = dealt.withColumn(f"next_{c}", F.lead(c).over(by))
-    return dealt.where(F.col(f"{at}.s") == 0).drop(at)
+    deal, late, rank = f"{at}_deal", f"{at}_late", f"{at}_rank"
+    dealt = df.withColumn(deal, F.explode(copies)).select(*df.columns[:-1], F.col(f"{deal}.b").alias(at), F.col(f"{deal}.s").alias(late), key.alias(rank))
+    by = Window.partitionBy(at).orderBy(late, rank)
+    dealt = dealt.select("*", *[F.lead(c).over(by).alias(f"next_{c}") for c in columns])
+    return dealt.where(F.col(late) == 0).drop(at, late, rank)
 
 
 def compare(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:

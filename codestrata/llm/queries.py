@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, near_dup, quality, token_store, winnow
+from . import bpe, embed_dup, langid, near_dup, quality, token_store, winnow
 from .common import table
 
 
@@ -20,6 +20,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"))
 
 
+def op6_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dup.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.95)
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -34,5 +38,5 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op4_near_duplicates, op5_bpe, op7_quality, op8_winnowing, op10_language)}
+QUERIES = {f.__name__: f for f in (op1_token_store, op4_near_duplicates, op5_bpe, op6_embedding_near_duplicates, op7_quality, op8_winnowing, op10_language)}
 ORACLE_SQL: dict[str, str] = {}

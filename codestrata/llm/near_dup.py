@@ -37,7 +37,7 @@ def words(text: str | None) -> list[str]:
 
 
 @cache
-def bands(percent: int, hashes: int = HASHES, miss: float = MISS) -> tuple[int, int]:
+def bands(percent: int, hashes: int, miss: float) -> tuple[int, int]:
     """(bands, rows): the most rows with which a pair at the threshold escapes all bands at most `miss` of the time."""
     t = percent / 100
     for r in range(hashes, 0, -1):
@@ -47,7 +47,7 @@ def bands(percent: int, hashes: int = HASHES, miss: float = MISS) -> tuple[int,
 
 
 @cache
-def floors(percent: int, hashes: int = HASHES, batch: int = BATCH, miss: float = MISS) -> list[tuple[int, int]]:
+def floors(percent: int, hashes: int, miss: float, batch: int = BATCH) -> list[tuple[int, int]]:
     """(hashes seen, least matches) after each batch. P(Beta(m+1, n-m+1) >= t) = P(Binomial(n+1, t) <= m)."""
     t, out = percent / 100, []
     for n in range(batch, hashes + 1, batch):
@@ -65,16 +65,16 @@ def _family() -> tuple[np.ndarray, np.ndarray]:
     return r.integers(0, 1 << 63, HASHES, np.uint64) * np.uint64(2) + np.uint64(1), r.integers(0, 1 << 63, HASHES, np.uint64)
 
 
-def signature(s: np.ndarray) -> np.ndarray:
-    """uint32 minima of HASHES functions over distinct shingle hashes, in blocks that fit the cache."""
-    a, b = _family()
-    out = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
+def signature(s: np.ndarray, hashes: int = HASHES) -> np.ndarray:
+    """uint32 minima of so many functions over distinct shingle hashes, in blocks that fit the cache."""
+    a, b = (x[:hashes] for x in _family())
+    out = np.full(hashes, np.iinfo(np.uint64).max, np.uint64)
     for i in range(0, len(s), 1024):
         out = np.minimum(out, (a[:, None] * s[None, i : i + 1024] + b[:, None]).min(1))
     return (out >> np.uint64(32)).astype("<u4")
 
 
-def sketch(docs: DataFrame) -> DataFrame:
+def sketch(docs: DataFrame, count: int = HASHES) -> DataFrame:
     """(doc_id, key, n_shingles, sig) of every row; key and sig are null without words."""
 
     def make():
@@ -87,7 +87,7 @@ def sketch(docs: DataFrame) -> DataFrame:
                 s = np.unique(shingles(hashes.of(w), K))
                 out["key"].append(blake2b(" ".join(w).encode(), digest_size=16).digest() if w else None)
                 out["n_shingles"].append(len(s))
-                out["sig"].append(signature(s).tobytes() if w else None)
+                out["sig"].append(signature(s, count).tobytes() if w else None)
             return out
 
         return work
@@ -95,12 +95,13 @@ def sketch(docs: DataFrame) -> DataFrame:
     return over_rows(docs, ["doc_id", "text"], "doc_id bigint, key binary, n_shingles bigint, sig binary", make)
 
 
-def _banded(classes: DataFrame, percent: int) -> DataFrame:
-    n, r = bands(percent)
+def _banded(classes: DataFrame, how: tuple[int, int, float]) -> DataFrame:
+    n, r = bands(*how)
+    hashes = how[1]
 
     def make():
         def work(rep, sig):
-            m = np.frombuffer(b"".join(sig), "<u4").reshape(-1, HASHES)[:, : n * r].astype(np.uint64).reshape(-1, n, r)
+            m = np.frombuffer(b"".join(sig), "<u4").reshape(-1, hashes)[:, : n * r].astype(np.uint64).reshape(-1, n, r)
             h = np.arange(n, dtype=np.uint64)[None, :] + np.uint64(1)
             for i in range(r):
                 h = mix(h * np.uint64(0x9E3779B97F4A7C15) + m[:, :, i])
@@ -111,26 +112,26 @@ def _banded(classes: DataFrame, percent: int) -> DataFrame:
     return over_rows(classes, ["rep", "sig"], "bucket bigint, rep bigint", make)
 
 
-def _alive(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
+def _alive(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, how: tuple[int, int, float]) -> np.ndarray:
     """Indices of the pairs of rows of a and b that no batch prunes; and their matches."""
-    at = np.flatnonzero(100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
+    at = np.flatnonzero(100 * np.minimum(na, nb) >= how[0] * np.maximum(na, nb))
     got, done = np.zeros(len(at), int), 0
-    for n, least in floors(percent):
+    for n, least in floors(*how):
         got += (a[at, done:n] == b[at, done:n]).sum(1)
         keep = got >= least
         at, got, done = at[keep], got[keep], n
     return at, got
 
 
-def _pruned(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _pruned(pairs: DataFrame, classes: DataFrame, how: tuple[int, int, float]) -> DataFrame:
     """The pairs (a, b) that the posterior leaves."""
     side = lambda x: classes.select(F.col("rep").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("n_shingles").alias(f"n_{x}"))
     met = pairs.join(side("a"), "a").join(side("b"), "b")
 
     def make():
         def work(a, b, sig_a, sig_b, n_a, n_b):
-            x, y = (np.frombuffer(b"".join(s), "<u4").reshape(-1, HASHES) for s in (sig_a, sig_b))
-            at, _ = _alive(x, y, np.array(n_a), np.array(n_b), percent)
+            x, y = (np.frombuffer(b"".join(s), "<u4").reshape(-1, how[1]) for s in (sig_a, sig_b))
+            at, _ = _alive(x, y, np.array(n_a), np.array(n_b), how)
             return {"a": np.array(a)[at], "b": np.array(b)[at]}
 
         return work
@@ -141,7 +142,7 @@ def _pruned(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets of shingles, as words, meet the threshold."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
+    texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     side = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
     met = pairs.join(side("b"), "b").join(side("a"), "a")
 
@@ -169,7 +170,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return over_rows(met, ["a", "b", "text_a", "text_b"], "a bigint, b bigint", make)
 
 
-def _across(banded: DataFrame, classes: DataFrame, found: DataFrame, percent: int, forest: bool) -> DataFrame:
+def _across(banded: DataFrame, classes: DataFrame, found: DataFrame, how: tuple[int, int, float], forest: bool) -> DataFrame:
     """Pairs of one bucket, in different components, that the posterior leaves; with forest only a spanning forest of
     them by likeness. One component of a bucket counts as settled: its members meet the others, not each other."""
     rows = banded.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
@@ -190,7 +191,7 @@ def _across(banded: DataFrame, classes: DataFrame, found: DataFrame, percent: in
     import pyarrow as pa
 
     def group(rows: list[dict]) -> list[tuple[int, int]]:
-        sig = np.frombuffer(b"".join(r["sig"] for r in rows), "<u4").reshape(-1, HASHES)
+        sig = np.frombuffer(b"".join(r["sig"] for r in rows), "<u4").reshape(-1, how[1])
         n, comp, rep = (np.array([r[k] for r in rows]) for k in ("n_shingles", "component", "rep"))
         if rows[0]["j"] < 0:
             left = np.array([not r["settled"] for r in rows])
@@ -208,7 +209,7 @@ def _across(banded: DataFrame, classes: DataFrame, found: DataFrame, percent: in
                 continue
             ys = ys[comp[ys] != comp[x]]
             if len(ys):
-                at, got = _alive(np.broadcast_to(sig[x], (len(ys), HASHES)), sig[ys], np.full(len(ys), n[x]), n[ys], percent)
+                at, got = _alive(np.broadcast_to(sig[x], (len(ys), how[1])), sig[ys], np.full(len(ys), n[x]), n[ys], how)
                 found += zip((-got).tolist(), [x] * len(at), ys[at].tolist())
         if forest:
             root = {c: c for c in comp.tolist()}
@@ -245,7 +246,7 @@ def _across(banded: DataFrame, classes: DataFrame, found: DataFrame, percent: in
     return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80, hashes: int = HASHES, miss: float = MISS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row; links are shingle sets with 100 * shared >= percent * union.
 
     Null and empty texts and texts of white space alone have the empty set and are linked with nothing, so each stays.
@@ -253,21 +254,25 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     one member. A class of copies, however large, is one vertex; joins on bands and keys are plain equi-joins that
     adaptive execution splits; a crowded bucket is compared in blocks of BLOCK rows.
     """
-    every = stored(sketch(docs), "sketch")
+    how = (percent, hashes, miss)
+    every = stored(sketch(docs, hashes), "sketch")
     rows = every.where("key is not null and doc_id is not null")
     keys = rows.groupBy("key").agg(F.min("doc_id").alias("rep"))
-    classes = stored(rows.withColumn("rep", F.col("doc_id")).join(keys, ["key", "rep"]).select("rep", "n_shingles", "sig"), "classes")
-    members = _banded(classes, percent)
+    reps = rows.withColumn("rep", F.col("doc_id")).join(keys, ["key", "rep"]).dropDuplicates(["key", "rep"]).select("rep", "n_shingles", "sig")
+    members = _banded(reps, how)
     crowded = members.groupBy("bucket").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a != z").select("bucket", "a")
     banded = stored(members.join(crowded, "bucket"), "banded")
+    classes = stored(reps.join(banded.select("rep").distinct(), "rep", "left_semi"), "classes")
     stars = banded.where("rep != a").select("a", F.col("rep").alias("b")).distinct()
-    links = stored(_confirmed(stored(_pruned(stars, classes, percent), "pairs"), docs, percent), "links")
+    links = stored(_confirmed(stored(_pruned(stars, classes, how), "pairs"), docs, percent), "links")
     found = stored(components(links), "found")
     tested = None
     for forest in (True, False):
-        pairs = _across(banded.select("bucket", "rep").distinct(), classes, found, percent, forest)
+        pairs = _across(banded.select("bucket", "rep"), classes, found, how, forest)
         pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         tested = pairs
+        if pairs.isEmpty():
+            break
         more = stored(_confirmed(pairs, docs, percent), "links")
         if not more.isEmpty():
             links = links.unionAll(more)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embed_dup, langid, near_dup, quality, token_store, winnow
+from . import bpe, embed_dup, langid, near_dup, quality, substring_dup, token_store, winnow
 from .common import table
 
 
@@ -32,11 +32,15 @@ def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.compare(table(spark, sf_dir, "documents"))
 
 
+def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dup.spans(table(spark, sf_dir, "documents"))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.fit(langid.train_rows(docs))
     return langid.predict(docs, model).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op4_near_duplicates, op5_bpe, op6_embedding_near_duplicates, op7_quality, op8_winnowing, op10_language)}
+QUERIES = {f.__name__: f for f in (op1_token_store, op4_near_duplicates, op5_bpe, op6_embedding_near_duplicates, op7_quality, op8_winnowing, op9_substring, op10_language)}
 ORACLE_SQL: dict[str, str] = {}

@@ -144,6 +144,25 @@ def predict(docs: DataFrame, model: Filters) -> DataFrame:
     return over_rows(docs, ["doc_id", "text"], "doc_id bigint, lang_pred string, score double", make)
 
 
+def keep_known(docs: DataFrame, model: Filters) -> DataFrame:
+    """docs without the rows whose prediction is `und`; decided in place, so no text is shuffled."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    names = docs.columns
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def make():
+        m = shared.value
+
+        def work(*columns):
+            out = dict(zip(names, columns))
+            keep = [i for i, lang in enumerate(m.predict(out["text"])[0]) if lang != "und"]
+            return {c: [v[i] for i in keep] for c, v in out.items()}
+
+        return work
+
+    return over_rows(docs, names, schema, make)
+
+
 def held_out() -> F.Column:
     return F.coalesce(crc_fold("doc_id") == 1, F.lit(False))
 

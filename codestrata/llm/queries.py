@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embed_dup, langid, near_dup, quality, substring_dup, token_store, winnow
+from . import bpe, embed_dup, langid, licenses, mixture, near_dup, quality, substring_dup, token_store, winnow
 from .common import table
 
 
@@ -12,6 +12,16 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op3_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    taken = mixture.copies(docs, mixture.domain_of(), mixture.WEIGHTS, budget=0.8, epochs=2)
+    return taken.where("copies > 0").select("doc_id", "domain", "lang", "source", "n_tokens", "copies")
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
@@ -42,5 +52,5 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op4_near_duplicates, op5_bpe, op6_embedding_near_duplicates, op7_quality, op8_winnowing, op9_substring, op10_language)}
+QUERIES = {f.__name__: f for f in (op1_token_store, op2_licenses, op3_mixture, op4_near_duplicates, op5_bpe, op6_embedding_near_duplicates, op7_quality, op8_winnowing, op9_substring, op10_language)}
 ORACLE_SQL: dict[str, str] = {}

@@ -16,12 +16,14 @@ from .. import schema
 from ..errors import NotFound, StoreError
 
 
-def upsert_files(old: DataFrame, new: DataFrame, now: int) -> DataFrame:
+def upsert_files(old: DataFrame, new: DataFrame, now: int, scratch: str) -> DataFrame:
     """Files by path: known paths keep their id and take the new values (the language too); new ones get ids above
-    the largest. new: path, language, content_hash, mtime, size (paths are unique)."""
+    the largest, in order of path. new: path, language, content_hash, mtime, size (paths are unique)."""
+    from .ids import numbered
+
     top = old.agg(F.coalesce(F.max("file_id"), F.lit(0)).alias("top")).first().top
-    fresh = new.join(old.select("path"), "path", "left_anti").withColumn("__n", F.row_number().over(Window.orderBy("path")))
-    fresh = fresh.select((F.col("__n") + top).cast("bigint").alias("file_id"), "path", "language", "content_hash", "mtime", "size", F.lit(now).cast("bigint").alias("indexed_at"))
+    fresh = numbered(new.join(old.select("path"), "path", "left_anti"), "path", scratch, start=top + 1)
+    fresh = fresh.select(F.col("__seq").alias("file_id"), "path", "language", "content_hash", "mtime", "size", F.lit(now).cast("bigint").alias("indexed_at"))
     kept = old.join(new.select("path"), "path", "left_anti").select(schema.FILES.names)
     updated = old.select("file_id", "path").join(new, "path").select("file_id", "path", "language", "content_hash", "mtime", "size", F.lit(now).cast("bigint").alias("indexed_at"))
     return kept.unionByName(updated).unionByName(fresh)

@@ -7,7 +7,7 @@ from hashlib import sha256
 from pyspark.sql import DataFrame
 
 from .common import over_rows
-from .tokenize import ByteBpe
+from .tokenize import byte_bpe
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -26,7 +26,7 @@ def encode(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """
 
     def make():
-        bpe = ByteBpe(tokenizer_path(tokenizer))
+        bpe = byte_bpe(tokenizer_path(tokenizer))
 
         def work(doc_id, text):
             ids = [bpe.encode(t).tolist() for t in text]
@@ -41,7 +41,7 @@ def digest(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256), computed beside the ids so that these never leave the worker."""
 
     def make():
-        bpe = ByteBpe(tokenizer_path(tokenizer))
+        bpe = byte_bpe(tokenizer_path(tokenizer))
         names: list[str] = [str(i) for i in range(len(bpe.bytes))]
 
         def work(doc_id, text):

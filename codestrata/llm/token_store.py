@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import scratch_dir, slices
-from .tokenize import WordBpe
+from .tokenize import word_bpe
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
@@ -135,7 +135,7 @@ def write(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: int =
         fs, root = _filesystem(path)
         shard = TaskContext.get().partitionId()
         final, temp = f"{root}/part-{shard:06d}.ids", f"{root}/.part-{shard:06d}-{uuid.uuid4().hex}"
-        bpe, end = WordBpe(public_tokenizers.path(tokenizer)), np.array([end_id], "<u4").tobytes()
+        bpe, end = word_bpe(public_tokenizers.path(tokenizer)), np.array([end_id], "<u4").tobytes()
         out, writer, tokens = None, None, 0
         for batch in batches:
             for doc_id, text in slices(batch, ["doc_id", "text"]):
@@ -196,8 +196,4 @@ def read(manifest: DataFrame, path: str) -> DataFrame:
 def round_trip(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID) -> DataFrame:
     """Writes all documents to shards in the shared folder and returns what reading them back gives."""
     path = scratch_dir(docs.sparkSession, "tokens")
-    manifest = write(docs, path, tokenizer, end_id).persist()
-    try:
-        return read(manifest, path)
-    finally:
-        manifest.unpersist()
+    return read(write(docs, path, tokenizer, end_id), path)

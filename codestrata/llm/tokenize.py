@@ -35,7 +35,37 @@ def byte_chars() -> list[str]:
     return [out[b] for b in range(256)]
 
 
-class WordBpe(dict):
+#: Letters of Latin-1 and then ASCII signs, among which no apostrophe (contractions) begins anything.
+_STEM = re.compile(r"( ?[A-Za-zªµºÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)")
+
+
+class Pieces(dict):
+    """A memory of encoded pieces in two generations: when the young one is full it becomes the old one, so frequent
+    pieces stay and the size is bounded."""
+
+    def __init__(self, most: int = 200_000):
+        super().__init__()
+        self.most, self.old = most, {}
+
+    def make(self, piece: str) -> bytes:
+        raise NotImplementedError
+
+    def __missing__(self, piece: str) -> bytes:
+        m = _STEM.fullmatch(piece)
+        if m:
+            return self[m[1]] + self[m[2]]
+        out = self.old.get(piece)
+        if out is None:
+            out = self.make(piece)
+        if len(piece) <= 64:
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+            self[piece] = out
+        return out
+
+
+class WordBpe(Pieces):
     """piece between spaces or line ends -> its ids as little-endian uint32 bytes.
 
     Of the word tokenizer's rules (NFC, white space dropped, lower case, letters | one digit | other signs) none
@@ -43,39 +73,24 @@ class WordBpe(dict):
     straight to the model, all others through the whole library.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str):
         super().__init__()
-        self.tok, self.most = _load(path), most
+        self.tok = _load(path)
         self.model, self.map = self.tok.model, byte_chars()
 
-    def ids(self, piece: str) -> list[int]:
-        if piece.isalpha() and max(piece) < "Ā":
+    def make(self, piece: str) -> bytes:
+        if piece.isalpha() and max(piece) < "\u0100":
             low = piece.lower()
             if not low.isascii():
                 low = "".join(map(self.map.__getitem__, low.encode()))
-            return [x.id for x in self.model.tokenize(low)]
-        if piece[-1] in ",." and (stem := piece[:-1]).isalpha() and max(stem) < "Ā":
-            return [*np.frombuffer(self[stem], "<u4").tolist(), *self.whole(piece[-1])]
-        return self.whole(piece)
-
-    def whole(self, piece: str) -> list[int]:
-        return self.tok.encode(piece, add_special_tokens=False).ids
-
-    def __missing__(self, piece: str) -> bytes:
-        if not piece:
-            return b""
-        out = np.array(self.ids(piece), "<u4").tobytes()
-        if len(piece) <= 64:
-            if len(self) >= self.most:
-                self.clear()
-            self[piece] = out
-        return out
+            return np.array([x.id for x in self.model.tokenize(low)], "<u4").tobytes()
+        return np.array(self.tok.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, text: str | None) -> bytes:
         return b"".join(map(self.__getitem__, (text or "").replace("\n", " ").split(" ")))
 
 
-class ByteBpe(dict):
+class ByteBpe(Pieces):
     """piece -> its ids as little-endian uint32 bytes, by forced boundaries.
 
     A byte pair that stands inside no token of the vocabulary can't be merged, so a cut there is certain. Two uses:
@@ -83,9 +98,9 @@ class ByteBpe(dict):
     is cut again at every such pair before the model sees it.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str):
         super().__init__()
-        self.tok, self.most = _load(path), most
+        self.tok = _load(path)
         self.model, self.pre = self.tok.model, self.tok.pre_tokenizer
         self.map = byte_chars()
         back = {c: b for b, c in enumerate(self.map)}
@@ -115,6 +130,17 @@ class ByteBpe(dict):
         out.append(mapped[at:])
         return out
 
+    def make(self, piece: str) -> bytes:
+        letters = piece[1:] if piece[0] == " " else piece
+        if letters.isalpha() and max(letters) < "\u0100":  # one pre-token
+            mapped = piece.replace(" ", self.map[32]) if piece.isascii() else "".join(map(self.map.__getitem__, piece.encode()))
+            out = [x.id for f in self.cuts(mapped) for x in self.model.tokenize(f)]
+        elif piece[0] == "\n" and piece[1:].isalpha():
+            return self["\n"] + self[piece[1:]]
+        else:
+            out = self.ids(piece)
+        return np.array(out, "<u4").tobytes()
+
     def ids(self, piece: str) -> list[int]:
         out: list[int] = []
         at = 0
@@ -128,17 +154,20 @@ class ByteBpe(dict):
                 at = m.end()
         return out
 
-    def __missing__(self, piece: str) -> bytes:
-        out = np.array(self.ids(piece), "<u4").tobytes()
-        if len(piece) <= 64:
-            if len(self) >= self.most:
-                self.clear()
-            self[piece] = out
-        return out
-
     def encode(self, text: str | None) -> np.ndarray:
         return np.frombuffer(b"".join(map(self.__getitem__, _PIECE.findall(text or ""))), "<u4")
 
     def decode(self, ids: list[int]) -> str:
         """As Tokenizer.decode(ids, skip_special_tokens=False)."""
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
+
+
+@cache
+def word_bpe(path: str) -> WordBpe:
+    """One encoder a worker process: tasks that follow find its vocabulary and pieces ready."""
+    return WordBpe(path)
+
+
+@cache
+def byte_bpe(path: str) -> ByteBpe:
+    return ByteBpe(path)

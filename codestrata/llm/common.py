@@ -57,6 +57,24 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Words of an id filter: 2^15 longs are 2 million bits.
+FILTER_WORDS = 1 << 15
+
+
+def marked(df: DataFrame, ids: DataFrame, to: str = "maybe") -> DataFrame:
+    """df with a boolean: whether a Bloom filter of the column doc_id of ids may hold the row's doc_id (null: false).
+
+    The filter has one hash and at most FILTER_WORDS rows of one long, whatever the number of ids, so it may be
+    broadcast. With more ids it lets more strangers through, never fewer members: it only saves a shuffle.
+    """
+    h = F.xxhash64("doc_id")
+    word, bit = F.pmod(F.shiftright(h, 6), F.lit(FILTER_WORDS)).cast("int"), F.pmod(h, F.lit(64)).cast("int")
+    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)
+    words = ids.where("doc_id is not null").groupBy(word.alias("__word")).agg(F.bit_or(one).alias("__bits"))
+    met = df.withColumn("__word", word).join(F.broadcast(words), "__word", "left")
+    return met.withColumn(to, F.coalesce(F.col("doc_id").isNotNull() & (F.col("__bits").bitwiseAND(one) != 0), F.lit(False))).drop("__word", "__bits")
+
+
 def slices(batch, columns: Iterable[str], chars: int = 4_000_000) -> Iterator[list[list]]:
     """Python lists of the columns of one Arrow batch, cut so that one slice holds about `chars` bytes of text."""
     names = list(columns)

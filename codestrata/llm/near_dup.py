@@ -7,8 +7,10 @@
    batch; a pair goes once the chance that it reaches the threshold is below `miss`. Survivors are confirmed on their
    full sets of shingles.
 4. Links give components. A bucket whose members lie in more than one component may still hide links that step 2 did
-   not test; those members are compared across components, in blocks, until every pair of a bucket is either in one
-   component, pruned by its posterior, or confirmed or rejected exactly. So no pair within a component is spelled out.
+   not test; those members are compared across components, in blocks, each pair in the first bucket that it shares.
+   What the posterior leaves of a block is verified in that block, the likeliest pair first, and a pair that earlier
+   links have joined needs no test. So every pair of a bucket is in one component, pruned, or decided exactly, and
+   what leaves a block are at most as many links as it has members.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, WORD, WordHashes, mix, over_rows, shingles, stored
+from .common import LOWER, WORD, WordHashes, marked, mix, over_rows, shingles, stored
 from .components import components
 
 K = 5
@@ -105,11 +107,11 @@ def _banded(classes: DataFrame, how: tuple[int, int, float]) -> DataFrame:
             h = np.arange(n, dtype=np.uint64)[None, :] + np.uint64(1)
             for i in range(r):
                 h = mix(h * np.uint64(0x9E3779B97F4A7C15) + m[:, :, i])
-            return {"bucket": h.ravel().view(np.int64), "rep": np.repeat(np.array(rep, np.int64), n)}
+            return {"bucket": h.ravel().view(np.int64), "band": np.tile(np.arange(n), len(rep)), "rep": np.repeat(np.array(rep, np.int64), n)}
 
         return work
 
-    return over_rows(classes, ["rep", "sig"], "bucket bigint, rep bigint", make)
+    return over_rows(classes, ["rep", "sig"], "bucket bigint, band int, rep bigint", make)
 
 
 def _alive(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, how: tuple[int, int, float]) -> np.ndarray:
@@ -125,7 +127,7 @@ def _alive(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, how: tu
 
 def _pruned(pairs: DataFrame, classes: DataFrame, how: tuple[int, int, float]) -> DataFrame:
     """The pairs (a, b) that the posterior leaves."""
-    side = lambda x: classes.select(F.col("rep").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("n_shingles").alias(f"n_{x}"))
+    side = lambda x: classes.select(F.col("rep").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("n_shingles").alias(f"n_{x}")).hint("merge")
     met = pairs.join(side("a"), "a").join(side("b"), "b")
 
     def make():
@@ -139,18 +141,31 @@ def _pruned(pairs: DataFrame, classes: DataFrame, how: tuple[int, int, float]) -
     return over_rows(met, ["a", "b", "sig_a", "sig_b", "n_a", "n_b"], "a bigint, b bigint", make)
 
 
+def grams(text: str | None) -> set[tuple[str, ...]]:
+    """The full set of a text's shingles, as words."""
+    w = words(text)
+    return {tuple(w[i : i + K]) for i in range(max(1, len(w) - K + 1))} if w else set()
+
+
+def _similar(x: set, y: set, percent: int) -> bool:
+    both = len(x & y)
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, text) of the ids, once each. A filter of fixed size drops most other texts before the shuffle."""
+    few = marked(docs.select("doc_id", "text"), ids).where("maybe").drop("maybe")
+    return few.join(ids.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets of shingles, as words, meet the threshold."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    side = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
+    texts = stored(texts_of(docs, ids), "texts")
+    side = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}")).hint("merge")
     met = pairs.join(side("b"), "b").join(side("a"), "a")
 
     def make():
-        def grams(text):
-            w = words(text)
-            return {tuple(w[i : i + K]) for i in range(max(1, len(w) - K + 1))} if w else set()
-
         last: list = [None, None]
 
         def work(a, b, text_a, text_b):
@@ -158,9 +173,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
             for i, j, s, t in zip(a, b, text_a, text_b):
                 if last[0] != i:
                     last[:] = i, grams(s)
-                y = grams(t)
-                both = len(last[1] & y)
-                if 100 * both >= percent * (len(last[1]) + len(y) - both):
+                if _similar(last[1], grams(t), percent):
                     out["a"].append(i)
                     out["b"].append(j)
             return out
@@ -170,80 +183,110 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return over_rows(met, ["a", "b", "text_a", "text_b"], "a bigint, b bigint", make)
 
 
-def _across(banded: DataFrame, classes: DataFrame, found: DataFrame, how: tuple[int, int, float], forest: bool) -> DataFrame:
-    """Pairs of one bucket, in different components, that the posterior leaves; with forest only a spanning forest of
-    them by likeness. One component of a bucket counts as settled: its members meet the others, not each other."""
-    rows = banded.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
-    open_ = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("main"), F.max("component").alias("other")).where("n > 2 and main != other").drop("other")
-    rows = rows.join(open_, "bucket").withColumn("settled", F.col("component") == F.col("main"))
+def _runs(batches, key: str):
+    """The rows of a sorted stream of Arrow batches, as lists of dicts with one key."""
+
+    def rows():
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                yield from batch.slice(at, 1000).to_pylist()
+
+    return groupby(rows(), key=lambda r: r[key])
+
+
+def _blocks(banded: DataFrame, classes: DataFrame, found: DataFrame, how: tuple[int, int, float]) -> DataFrame:
+    """(block, rep, component, pairs): the members of each block that have untested pairs across components, and on
+    one row of the block these pairs, likeliest first, as numbers of its members in order. One component of a bucket
+    counts as settled: its members meet the others, not each other."""
+    rows = banded.select("bucket", "band", "rep").join(found.withColumnRenamed("id", "rep").hint("merge"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    open_ = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("main"), F.max("component").alias("other")).where("n > 2 and main != other").drop("other", "n")
+    rows = rows.join(open_.hint("merge"), "bucket").withColumn("settled", F.col("component") == F.col("main")).drop("main")
     sizes = rows.groupBy("bucket").agg(F.ceil(F.count_if("settled") / BLOCK).cast("int").alias("nt"), F.ceil(F.count_if(~F.col("settled")) / BLOCK).cast("int").alias("nx"))
-    rows = rows.join(sizes, "bucket").join(classes.select("rep", "sig", "n_shingles"), "rep")
-    own = F.pmod(F.xxhash64("rep"), F.when(F.col("settled"), F.col("nt")).otherwise(F.col("nx"))).cast("int")
-    rows = rows.withColumn("own", own)
+    rows = rows.join(sizes.hint("merge"), "bucket").join(classes.select("rep", "sig", "n_shingles").hint("merge"), "rep")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.when(F.col("settled"), F.col("nt")).otherwise(F.col("nx"))).cast("int"))
     each = lambda n, i, j: F.transform(F.sequence(F.lit(0), n - 1), lambda x: F.struct(i(x).alias("i"), j(x).alias("j")))
     mine = F.col("own")
-    with_settled = F.when(F.col("nt") > 0, each(F.col("nt"), lambda x: mine, lambda x: -1 - x))
+    nothing = F.array().cast("array<struct<i:int,j:int>>")
+    with_settled = F.when(F.col("nt") > 0, each(F.col("nt"), lambda x: mine, lambda x: -1 - x)).otherwise(nothing)
     among = each(F.col("nx"), lambda x: F.least(mine, x), lambda x: F.greatest(mine, x))
     to = F.when(F.col("settled"), each(F.col("nx"), lambda x: x, lambda x: -1 - mine)).otherwise(F.concat(with_settled, among))
-    dealt = rows.withColumn("to", F.explode(to)).select("bucket", "to.i", "to.j", "own", "settled", "component", "rep", "n_shingles", "sig")
-    dealt = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    dealt = rows.withColumn("to", F.explode(to)).withColumn("block", F.xxhash64("bucket", "to.i", "to.j"))
+    dealt = dealt.select("block", "band", "to.i", "to.j", "own", "settled", "component", "rep", "n_shingles", "sig").repartition("block").sortWithinPartitions("block")
+    n_bands, r = bands(*how)
 
     import pyarrow as pa
 
-    def group(rows: list[dict]) -> list[tuple[int, int]]:
-        sig = np.frombuffer(b"".join(r["sig"] for r in rows), "<u4").reshape(-1, how[1])
-        n, comp, rep = (np.array([r[k] for r in rows]) for k in ("n_shingles", "component", "rep"))
-        if rows[0]["j"] < 0:
-            left = np.array([not r["settled"] for r in rows])
-        elif rows[0]["i"] != rows[0]["j"]:
-            left = np.array([r["own"] == r["i"] for r in rows])
+    def compared(rows: list[dict]) -> list[tuple[int, int]]:
+        sig = np.frombuffer(b"".join(x["sig"] for x in rows), "<u4").reshape(-1, how[1])
+        n, comp = (np.array([x[k] for x in rows]) for k in ("n_shingles", "component"))
+        band, first = rows[0]["band"], rows[0]
+        if first["j"] < 0:
+            left = np.array([not x["settled"] for x in rows])
+        elif first["i"] != first["j"]:
+            left = np.array([x["own"] == x["i"] for x in rows])
         else:
             left = None
-        found: list[tuple[int, int, int]] = []
+        got: list[tuple[int, int, int]] = []
         for x in range(len(rows)):  # one row against the rest: the block's memory stays linear
-            if left is None:
-                ys = np.arange(x + 1, len(rows))
-            elif left[x]:
-                ys = np.flatnonzero(~left)
-            else:
-                continue
+            ys = np.arange(x + 1, len(rows)) if left is None else np.flatnonzero(~left) if left[x] else ys_none
             ys = ys[comp[ys] != comp[x]]
+            if len(ys) and band:  # a pair belongs to the first band that it shares
+                lower = (sig[x, : band * r] == sig[ys, : band * r]).reshape(len(ys), band, r).all(2).any(1)
+                ys = ys[~lower]
             if len(ys):
-                at, got = _alive(np.broadcast_to(sig[x], (len(ys), how[1])), sig[ys], np.full(len(ys), n[x]), n[ys], how)
-                found += zip((-got).tolist(), [x] * len(at), ys[at].tolist())
-        if forest:
-            root = {c: c for c in comp.tolist()}
+                at, likes = _alive(np.broadcast_to(sig[x], (len(ys), how[1])), sig[ys], np.full(len(ys), n[x]), n[ys], how)
+                got += zip((-likes).tolist(), [x] * len(at), ys[at].tolist())
+        return [(x, y) for _, x, y in sorted(got)]
+
+    ys_none = np.zeros(0, np.int64)
 
-            def top(c):
+    def run(batches):
+        for block, rows in _runs(batches, "block"):
+            rows = list(rows)
+            pairs = compared(rows)
+            if pairs:
+                used = sorted({k for p in pairs for k in p}, key=lambda k: rows[k]["rep"])
+                number = {k: i for i, k in enumerate(used)}
+                packed = np.array([(number[x], number[y]) for x, y in pairs], "<i4").tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([block] * len(used), pa.int64()), pa.array([rows[k]["rep"] for k in used], pa.int64()), pa.array([rows[k]["component"] for k in used], pa.int64()), pa.array([packed] + [None] * (len(used) - 1), pa.binary())], names=["block", "rep", "component", "pairs"])
+
+    return dealt.mapInArrow(run, "block bigint, rep bigint, component bigint, pairs binary")
+
+
+def _across(blocks: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join the components of each block's members, confirmed on full sets."""
+    texts = texts_of(docs, blocks.select(F.col("rep").alias("doc_id")).distinct()).withColumnRenamed("doc_id", "rep")
+    met = blocks.join(texts.hint("merge"), "rep").repartition("block").sortWithinPartitions("block", "rep")
+
+    import pyarrow as pa
+
+    def run(batches):
+        for _, rows in _runs(batches, "block"):
+            rows = list(rows)
+            pairs = np.frombuffer(next(x["pairs"] for x in rows if x["pairs"]), "<i4").reshape(-1, 2).tolist()
+            root = {x["component"]: x["component"] for x in rows}
+            sets: dict[int, set] = {}
+
+            def top(c: int) -> int:
                 while root[c] != c:
                     root[c] = c = root[root[c]]
                 return c
 
-            kept = []
-            for f in sorted(found):
-                p, q = top(int(comp[f[1]])), top(int(comp[f[2]]))
-                if p != q:
-                    root[max(p, q)] = min(p, q)
-                    kept.append(f)
-            found = kept
-        return [(int(min(rep[x], rep[y])), int(max(rep[x], rep[y]))) for _, x, y in found]
-
-    def run(batches):
-        def stream():
-            for batch in batches:
-                for at in range(0, batch.num_rows, 2000):
-                    yield from batch.slice(at, 2000).to_pylist()
+            def of(k: int) -> set:
+                if k not in sets:
+                    sets[k] = grams(rows[k]["text"])
+                return sets[k]
 
-        out: list[tuple[int, int]] = []
-        for _, rows in groupby(stream(), key=lambda r: (r["bucket"], r["i"], r["j"])):
-            out += group(list(rows))
-            if len(out) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=["a", "b"])
-                out = []
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=["a", "b"])
+            out = []
+            for x, y in pairs:
+                p, q = top(rows[x]["component"]), top(rows[y]["component"])
+                if p != q and _similar(of(x), of(y), percent):
+                    root[max(p, q)] = min(p, q)
+                    out.append((rows[x]["rep"], rows[y]["rep"]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
 
-    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
+    return met.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, hashes: int = HASHES, miss: float = MISS) -> DataFrame:
@@ -258,27 +301,20 @@ def near_duplicates(docs: DataFrame, percent: int = 80, hashes: int = HASHES, mi
     every = stored(sketch(docs, hashes), "sketch")
     rows = every.where("key is not null and doc_id is not null")
     keys = rows.groupBy("key").agg(F.min("doc_id").alias("rep"))
-    reps = rows.withColumn("rep", F.col("doc_id")).join(keys, ["key", "rep"]).dropDuplicates(["key", "rep"]).select("rep", "n_shingles", "sig")
+    reps = rows.withColumn("rep", F.col("doc_id")).join(keys.hint("merge"), ["key", "rep"]).dropDuplicates(["key", "rep"]).select("rep", "n_shingles", "sig")
     members = _banded(reps, how)
     crowded = members.groupBy("bucket").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a != z").select("bucket", "a")
-    banded = stored(members.join(crowded, "bucket"), "banded")
-    classes = stored(reps.join(banded.select("rep").distinct(), "rep", "left_semi"), "classes")
+    banded = stored(members.join(crowded.hint("merge"), "bucket"), "banded")
+    classes = stored(reps.join(banded.select("rep").distinct().hint("merge"), "rep", "left_semi"), "classes")
     stars = banded.where("rep != a").select("a", F.col("rep").alias("b")).distinct()
     links = stored(_confirmed(stored(_pruned(stars, classes, how), "pairs"), docs, percent), "links")
     found = stored(components(links), "found")
-    tested = None
-    for forest in (True, False):
-        pairs = _across(banded.select("bucket", "rep"), classes, found, how, forest)
-        pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = pairs
-        if pairs.isEmpty():
-            break
-        more = stored(_confirmed(pairs, docs, percent), "links")
-        if not more.isEmpty():
-            links = links.unionAll(more)
-            found = stored(components(links), "found")
-    named = keys.join(found.withColumnRenamed("id", "rep"), "rep", "left").select(F.col("key").alias("k"), F.coalesce("component", "rep").alias("component"))
-    out = every.join(named, F.col("key") == F.col("k"), "left")
+    blocks = stored(_blocks(banded, classes, found, how), "blocks")
+    if not blocks.isEmpty():
+        links = stored(links.unionAll(_across(blocks, docs, percent)), "links")
+        found = stored(components(links), "found")
+    named = keys.join(found.withColumnRenamed("id", "rep").hint("merge"), "rep", "left").select(F.col("key").alias("k"), F.coalesce("component", "rep").alias("component"))
+    out = every.select("doc_id", "key", "n_shingles").join(named.hint("merge"), F.col("key") == F.col("k"), "left")
     component = F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("component")), "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
@@ -286,4 +322,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, hashes: int = HASHES, mi
 def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
     """docs without the documents that have a near-duplicate of smaller doc_id in their group."""
     gone = near_duplicates(docs, percent).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    gone, maybe = stored(gone, "gone"), "__maybe"
+    rows = marked(docs, gone, maybe)
+    left = rows.where(maybe).join(gone.hint("merge"), "doc_id", "left_anti")
+    return rows.where(~F.col(maybe)).select(docs.columns).unionAll(left.select(docs.columns))

@@ -50,7 +50,7 @@ class Engine:
 
     def _items(self) -> DataFrame | None:
         at = f"{self.path}/{self.store.current()}/items" if self.store.exists() else None
-        return self.spark.read.parquet(at) if at else None
+        return self.spark.read.schema(schema.ITEMS).parquet(at) if at else None
 
     def index(self, mode: str = "incremental", prune: bool = True, paths: list[str] | None = None, now: int | None = None) -> DataFrame:
         """Indexes the tree and returns (path, error) of files that failed. mode "full" starts anew; paths restricts

@@ -110,9 +110,9 @@ class Store:
             raise StoreError(f"the pointer of {self.path} can't be read") from e
 
     def read(self) -> dict[str, DataFrame]:
-        """All tables of the current snapshot."""
+        """All tables of the current snapshot; columns that an older one lacks are null."""
         at = f"{self.path}/{self.current()}"
-        return {name: migrate(self.spark.read.parquet(f"{at}/{name}"), s) for name, s in schema.TABLES.items()}
+        return {name: self.spark.read.schema(s).parquet(f"{at}/{name}").select(s.names) for name, s in schema.TABLES.items()}
 
     def empty(self) -> dict[str, DataFrame]:
         return {name: self.spark.createDataFrame([], s) for name, s in schema.TABLES.items()}

@@ -58,7 +58,7 @@ def scan(spark: SparkSession, root: str, include: list[str] = ("**/*",), exclude
     ends = ",".join(sorted({x for e in wanted for x in (e, e.upper())}))
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{{{ends}}}").load(root)
     path = T.relative(F.col("path"), root if "://" not in root else "/" + root.split("://", 1)[1].lstrip("/"))
-    files = raw.select(path.alias("path"), F.decode("content", F.lit("UTF-8")).alias("content"), (F.unix_micros("modificationTime") / 1000.0).alias("mtime"), F.col("length").alias("size"))
+    files = raw.select(path.alias("path"), F.decode("content", "UTF-8").alias("content"), (F.unix_micros("modificationTime") / 1000.0).alias("mtime"), F.col("length").alias("size"))
     files = describe(files.where(matches(F.col("path"), include, exclude))).where("language is not null")
     if languages is not None:
         files = files.where(F.col("language").isin(list(languages)))

@@ -9,7 +9,7 @@ from codestrata.enrich import HttpProvider, StubProvider, retried
 from codestrata.errors import NotFound
 
 A = "export function greet(n: string) { return trim(n); }\nexport function hello() { return greet('x'); }\n"
-B = "export class Box { size = 1; open() { return hello(); } }\n"
+B = "export class Box {\n  size = 1;\n  open() { return hello(); }\n}\n"
 
 
 @pytest.fixture

@@ -15,6 +15,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cache
 from hashlib import blake2b
 from itertools import groupby
@@ -158,10 +159,9 @@ def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return few.join(ids.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, texts_for: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     """The pairs whose full sets of shingles, as words, meet the threshold."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = stored(texts_of(docs, ids), "texts")
+    texts = stored(texts_for(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()), "texts")
     side = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}")).hint("merge")
     met = pairs.join(side("b"), "b").join(side("a"), "a")
 
@@ -253,9 +253,9 @@ def _blocks(banded: DataFrame, classes: DataFrame, found: DataFrame, how: tuple[
     return dealt.mapInArrow(run, "block bigint, rep bigint, component bigint, pairs binary")
 
 
-def _across(blocks: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def _across(blocks: DataFrame, texts_for: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     """Links (a, b) that join the components of each block's members, confirmed on full sets."""
-    texts = texts_of(docs, blocks.select(F.col("rep").alias("doc_id")).distinct()).withColumnRenamed("doc_id", "rep")
+    texts = texts_for(blocks.select(F.col("rep").alias("doc_id")).distinct()).withColumnRenamed("doc_id", "rep")
     met = blocks.join(texts.hint("merge"), "rep").repartition("block").sortWithinPartitions("block", "rep")
 
     import pyarrow as pa
@@ -297,8 +297,12 @@ def near_duplicates(docs: DataFrame, percent: int = 80, hashes: int = HASHES, mi
     one member. A class of copies, however large, is one vertex; joins on bands and keys are plain equi-joins that
     adaptive execution splits; a crowded bucket is compared in blocks of BLOCK rows.
     """
+    return grouped(stored(sketch(docs, hashes), "sketch"), lambda ids: texts_of(docs, ids), percent, hashes, miss)
+
+
+def grouped(every: DataFrame, texts_for: Callable[[DataFrame], DataFrame], percent: int, hashes: int, miss: float) -> DataFrame:
+    """The steps after sketching. every: a stored sketch; texts_for(ids) gives (doc_id, text) of ids, once each."""
     how = (percent, hashes, miss)
-    every = stored(sketch(docs, hashes), "sketch")
     rows = every.where("key is not null and doc_id is not null")
     keys = rows.groupBy("key").agg(F.min("doc_id").alias("rep"))
     reps = rows.withColumn("rep", F.col("doc_id")).join(keys.hint("merge"), ["key", "rep"]).dropDuplicates(["key", "rep"]).select("rep", "n_shingles", "sig")
@@ -307,11 +311,11 @@ def near_duplicates(docs: DataFrame, percent: int = 80, hashes: int = HASHES, mi
     banded = stored(members.join(crowded.hint("merge"), "bucket"), "banded")
     classes = stored(reps.join(banded.select("rep").distinct().hint("merge"), "rep", "left_semi"), "classes")
     stars = banded.where("rep != a").select("a", F.col("rep").alias("b")).distinct()
-    links = stored(_confirmed(stored(_pruned(stars, classes, how), "pairs"), docs, percent), "links")
+    links = stored(_confirmed(stored(_pruned(stars, classes, how), "pairs"), texts_for, percent), "links")
     found = stored(components(links), "found")
     blocks = stored(_blocks(banded, classes, found, how), "blocks")
     if not blocks.isEmpty():
-        links = stored(links.unionAll(_across(blocks, docs, percent)), "links")
+        links = stored(links.unionAll(_across(blocks, texts_for, percent)), "links")
         found = stored(components(links), "found")
     named = keys.join(found.withColumnRenamed("id", "rep").hint("merge"), "rep", "left").select(F.col("key").alias("k"), F.coalesce("component", "rep").alias("component"))
     out = every.select("doc_id", "key", "n_shingles").join(named.hint("merge"), F.col("key") == F.col("k"), "left")

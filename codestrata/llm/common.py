@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from functools import wraps
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -49,10 +50,35 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+_SCOPES: list[list[tuple[SparkSession, str]]] = []
+
+
+def tidy(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Stores what f returns and deletes the tables that f has stored on its way."""
+
+    @wraps(f)
+    def run(*args, **how) -> DataFrame:
+        mine: list[tuple[SparkSession, str]] = []
+        _SCOPES.append(mine)
+        try:
+            out = f(*args, **how)
+        finally:
+            _SCOPES.pop()
+        try:
+            return stored(out, f.__name__)
+        finally:
+            for spark, path in mine:
+                _delete(spark, path)
+
+    return run
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: lineage ends, a lost executor costs nothing."""
     spark = df.sparkSession
     path = scratch_dir(spark, name)
+    if _SCOPES:
+        _SCOPES[-1].append((spark, path))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, tidy
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -21,6 +21,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("u != v").distinct()
 
 
+@tidy
 def components(links: DataFrame) -> DataFrame:
     """(id, component) of every vertex of links (a, b): the least vertex it can reach. Loops and repeats are allowed.
 

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import over_rows, stored
+from .common import over_rows, stored, tidy
 from .components import components
 
 LIST = 8
@@ -86,6 +86,7 @@ def _links(x: np.ndarray, ids: np.ndarray, left: np.ndarray | None, marks: np.nd
     return ids[some], linked @ weight[some], label
 
 
+@tidy
 def near_duplicates(table: DataFrame, least: float = 0.95, dim: int | None = None) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row; links are pairs with cosine >= least in double precision.
 

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, WORD, WordHashes, marked, mix, over_rows, shingles, stored
+from .common import LOWER, WORD, WordHashes, marked, mix, over_rows, shingles, stored, tidy
 from .components import components
 
 K = 5
@@ -289,6 +289,7 @@ def _across(blocks: DataFrame, texts_for: Callable[[DataFrame], DataFrame], perc
     return met.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+@tidy
 def near_duplicates(docs: DataFrame, percent: int = 80, hashes: int = HASHES, miss: float = MISS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row; links are shingle sets with 100 * shared >= percent * union.
 

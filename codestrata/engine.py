@@ -115,6 +115,10 @@ class Engine:
         self._tables = None
         return failed
 
+    def clean(self) -> None:
+        """Deletes the working folder; DataFrames that earlier calls have returned may read from it."""
+        self.store.fs.delete(self.store._path("work"), True)
+
     def update_files(self, paths: list[str]) -> DataFrame:
         return self.index("incremental", prune=False, paths=paths)
 

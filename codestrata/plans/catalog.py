@@ -6,6 +6,7 @@ order lines are call sites, events are file events, embeddings are symbol embedd
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,12 +37,19 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """Writes a step's result to the folder in spark.checkpoint.dir; where that is unset, recomputes it instead."""
-    root = df.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir")
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder in spark.checkpoint.dir; a temporary one only where that is unset and the master is local."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
-        return df.persist()
-    at = f"{root.rstrip('/')}/strata-steps/{name}-{uuid.uuid4().hex}"
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        root = f"file://{tempfile.gettempdir()}"
+    return f"{root.rstrip('/')}/strata-steps/{name}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """Writes a step's result and reads it back."""
+    at = scratch(df.sparkSession, name)
     df.write.parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
@@ -361,12 +369,7 @@ def directory_delete(spark, d):
 def dense_numbers(spark, d):
     from ..operators.ids import numbered
 
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        import tempfile
-
-        root = tempfile.mkdtemp(prefix="strata-")
-    got = numbered(table(spark, d, "events").select("event_id", "user_id"), "event_id", f"{root}/strata-ids-{uuid.uuid4().hex}", "user_id")
+    got = numbered(table(spark, d, "events").select("event_id", "user_id"), "event_id", scratch(spark, "ids"), "user_id")
     return got.select("event_id", F.col("__seq").alias("seq"), F.col("__base").alias("base"))
 
 

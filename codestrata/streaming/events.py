@@ -95,7 +95,11 @@ def change_stream(events: DataFrame, least: int) -> DataFrame:
 
 
 class Watcher:
-    """Runs a stream of events into update(paths) and delete(paths, directories), one batch at a time."""
+    """Runs a stream of events into update(paths) and delete(paths, directories), one batch at a time.
+
+    A batch lasts batch_minutes, and debounce_ms at least. Its last event of a path decides, so bursts within a batch
+    are one change; debounce_stream() is for streams that need the exact timer.
+    """
 
     def __init__(self, events: DataFrame, update: Callable[[list[str]], None], delete: Callable[[list[str], list[str]], None], checkpoint: str, batch_minutes: float = 10, least_lines: int = 5, debounce_ms: int = 500):
         self.events, self.update, self.delete = events, update, delete
@@ -119,7 +123,7 @@ class Watcher:
             raise RuntimeError("this watcher runs already")
         flow = change_stream(self.events, self.least)
         writer = flow.writeStream.foreachBatch(self.drain).option("checkpointLocation", self.checkpoint)
-        writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{max(1, int(self.minutes * 60))} seconds")
+        writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{max(int(self.minutes * 60_000), self.debounce, 1)} milliseconds")
         self.query = writer.start()
         return self.query
 

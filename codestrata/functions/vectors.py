@@ -44,12 +44,12 @@ def encode_blob(v: list[float]) -> bytes:
 
 def decode_blob(column: Column) -> Column:
     """Little-endian float32 blob -> array<float>, by an Arrow UDF (the JVM has no byte reinterpretation)."""
+    import numpy as np
     import pandas as pd
 
-    @F.pandas_udf("array<float>")
-    def decode(blobs: pd.Series) -> pd.Series:
-        import numpy as np
-
+    def decode(blobs):
         return blobs.map(lambda b: None if b is None else np.frombuffer(b, "<f4"))
 
-    return decode(column)
+    # real classes, not names: Spark looks the hints up outside this function
+    decode.__annotations__ = {"blobs": pd.Series, "return": pd.Series}
+    return F.pandas_udf(decode, "array<float>")(column)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -12,10 +11,8 @@ from functools import wraps
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
-#: A word of the contracts: a run of anything but ASCII white space.
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 _PREFIX: dict[str, str] = {}
 
 
@@ -132,25 +129,14 @@ def over_rows(df: DataFrame, columns: list[str], schema: str, fn: Callable[[], C
     return df.select(*columns).mapInArrow(run, schema)
 
 
-class WordHashes(dict):
-    """word -> 64-bit hash of its lower-cased form; emptied when it grows too large, so memory is bounded."""
+def words(text: str | None) -> list[bytes]:
+    """The contracts' words, A-Z lower-cased, as UTF-8: bytes.lower knows A-Z alone, bytes.split ASCII white space."""
+    return (text or "").encode().lower().split()
 
-    def __init__(self, most: int = 400_000, key: Callable[[str], str] = lambda w: w.translate(LOWER)):
-        super().__init__()
-        self.most, self.key = most, key
 
-    def __missing__(self, word: str) -> int:
-        from xxhash import xxh3_64_intdigest
-
-        h = xxh3_64_intdigest(self.key(word).encode())
-        if len(word) <= 64:
-            if len(self) >= self.most:
-                self.clear()
-            self[word] = h
-        return h
-
-    def of(self, words: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+def hashes_of(words: list[bytes] | list[str]) -> np.ndarray:
+    """64-bit hashes of words. Hashing costs less than looking words up, so nothing is remembered."""
+    return np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 MULT = np.uint64(0x9E3779B97F4A7C15)

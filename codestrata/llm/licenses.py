@@ -13,7 +13,7 @@ import re
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import WordHashes, over_rows, shingles, sliding_min
+from .common import hashes_of, over_rows, shingles, sliding_min
 
 BANDS = 8
 LEAST = 0.8
@@ -49,14 +49,14 @@ def _functions() -> np.ndarray:
 
 class Scanner:
     def __init__(self, templates: dict[str, list[str]]):
-        self.hashes, self.by = WordHashes(key=lambda w: w), _functions()
+        self.by = _functions()
         self.groups: dict[int, list] = {}
         for name, texts in sorted(templates.items()):
             for part, text in enumerate(texts):
                 w = words(text)
                 if len(w) < K:
                     raise ValueError(f"a template needs {K} words: {text!r}")
-                s = shingles(self.hashes.of(w), K)
+                s = shingles(hashes_of(w), K)
                 self.groups.setdefault(len(s), []).append((name, part, len(w), np.unique(s), [(s * a).min() for a in self.by]))
 
     def scan(self, text: str | None) -> list[tuple[str, int, int, int, float]]:
@@ -65,7 +65,7 @@ class Scanner:
         out: list = []
         if len(w) < K:
             return out
-        s = shingles(self.hashes.of(w), K)
+        s = shingles(hashes_of(w), K)
         spread = [s * a for a in self.by]
         for m, group in self.groups.items():
             step = max(1, m // 8)

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, WORD, WordHashes, marked, mix, over_rows, shingles, stored, tidy
+from .common import hashes_of, marked, mix, over_rows, shingles, stored, tidy, words
 from .components import components
 
 K = 5
@@ -35,10 +35,6 @@ MISS = 1e-6
 BLOCK = 256
 
 
-def words(text: str | None) -> list[str]:
-    return WORD.findall((text or "").translate(LOWER))
-
-
 @cache
 def bands(percent: int, hashes: int, miss: float) -> tuple[int, int]:
     """(bands, rows): the most rows with which a pair at the threshold escapes all bands at most `miss` of the time."""
@@ -81,14 +77,12 @@ def sketch(docs: DataFrame, count: int = HASHES) -> DataFrame:
     """(doc_id, key, n_shingles, sig) of every row; key and sig are null without words."""
 
     def make():
-        hashes = WordHashes(key=lambda w: w)
-
         def work(doc_id, text):
             out = {"doc_id": doc_id, "key": [], "n_shingles": [], "sig": []}
             for t in text:
                 w = words(t)
-                s = np.unique(shingles(hashes.of(w), K))
-                out["key"].append(blake2b(" ".join(w).encode(), digest_size=16).digest() if w else None)
+                s = np.unique(shingles(hashes_of(w), K))
+                out["key"].append(blake2b(b" ".join(w), digest_size=16).digest() if w else None)
                 out["n_shingles"].append(len(s))
                 out["sig"].append(signature(s, count).tobytes() if w else None)
             return out
@@ -142,7 +136,7 @@ def _pruned(pairs: DataFrame, classes: DataFrame, how: tuple[int, int, float]) -
     return over_rows(met, ["a", "b", "sig_a", "sig_b", "n_a", "n_b"], "a bigint, b bigint", make)
 
 
-def grams(text: str | None) -> set[tuple[str, ...]]:
+def grams(text: str | None) -> set[tuple[bytes, ...]]:
     """The full set of a text's shingles, as words."""
     w = words(text)
     return {tuple(w[i : i + K]) for i in range(max(1, len(w) - K + 1))} if w else set()

@@ -19,7 +19,7 @@ from .common import stored
 
 LEVELS = ["domain", "lang", "source"]
 NONE = "(none)"
-#: Documents in one bucket of the seeded order; one bucket a leaf is put in order.
+#: Documents for which the seeded order has 16 more buckets; one bucket a leaf is put in order.
 BUCKET = 50_000
 
 
@@ -85,7 +85,7 @@ def copies(docs: DataFrame, domain: Column, weights: list[dict], budget: float =
     sums = {tuple(r[k] for k in names): (r.s, r.c) for r in short.groupBy(*names).agg(F.sum("n").alias("s"), F.count(F.lit(1)).alias("c")).collect()}
     total, rows = sum(s for s, _ in sums.values()), sum(c for _, c in sums.values())
     given = budgets({k: s for k, (s, _) in sums.items()}, int(Fraction(str(budget)) * total), weights, epochs)
-    parts = max(1, min(1 << 16, rows // BUCKET * 16))
+    parts = min(1 << 16, rows // BUCKET * 16 + 64)  # small inputs have buckets too
     plan = [(*k, b // sums[k][0] if sums[k][0] else 0, b % sums[k][0] if sums[k][0] else 0) for k, b in given.items()]
     leaves = spark.createDataFrame(plan, ", ".join([*(f"{n} string" for n in names), "__full bigint", "__rest bigint"]))
     place = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("__full").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))

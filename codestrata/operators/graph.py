@@ -70,7 +70,7 @@ def call_chain(calls: DataFrame, symbols: DataFrame, roots: DataFrame, store, di
         import pandas as pd
 
         adjacency: dict[int, list[int]] = {}
-        for x in pdf.dropna(subset=["dst"]).sort_values(["src", "rank"]).itertuples():
+        for x in pdf.dropna(subset=["dst"]).sort_values(["src", "rank", "dst"]).itertuples():
             adjacency.setdefault(int(x.src), []).append(int(x.dst))
         out = pd.DataFrame(depth_first(adjacency, int(key[0]), depth), columns=CALL_TREE.names)
         out["parent_id"] = out["parent_id"].astype("Int64")

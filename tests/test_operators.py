@@ -154,3 +154,13 @@ def test_vectors_of_length_zero_and_other_dimensions(spark):
     df = spark.createDataFrame([(1, [0.0, 0.0]), (2, [3.0, 4.0]), (3, [1.0])], "id bigint, v array<double>")
     assert [r.u for r in df.orderBy("id").select(vectors.normalize(F.col("v")).alias("u")).collect()] == [[0.0, 0.0], [0.6, 0.8], [1.0]]
     assert [(r.id, r.similarity) for r in search.ranked(df, "id", "v", [1.0, 0.0], 5, 0.0).collect()] == [(2, 2.0), (1, 0.5)]
+
+
+def test_call_chain_walks_all_order_lines(spark, sf):
+    line = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey").collect()
+    adjacency = {}
+    for r in sorted(line, key=lambda r: (r.l_orderkey * 10 + r.l_linenumber, r.l_partkey)):  # some calls share an id
+        adjacency.setdefault(r.l_suppkey, dict()).setdefault(r.l_partkey)
+    want = [x for root in (1, 2, 3) for x in graph.depth_first({k: list(v) for k, v in adjacency.items()}, root, 3)]
+    got = [tuple(r) for r in catalog.call_chain(spark, sf).collect()]
+    assert sorted(got) == sorted(want) and max(r[1] for r in want) > 100

@@ -383,3 +383,22 @@ def test_mixture_takes_prefixes_of_epochs(spark):
         assert {x.doc_id: x.copies for x in v} == {x.doc_id: full + (x.doc_id in taken) for x in v}
     assert mixture.mixed(docs).columns == docs.columns
     assert mixture.mixed(docs.limit(0)).count() == 0
+
+
+def test_license_siblings_are_told_apart(spark):
+    r = random.Random(12)
+    gnu = "This {0} is free software; you can redistribute it and/or modify it under the terms of the GNU {1} as published by the Free Software Foundation; either version {2} of the License, or (at your option) any later version."
+    bsd = licenses.TEMPLATES["BSD-2-Clause"][0].split()
+    bsd[60] = "changed"
+    notices = {
+        "GPL-2.0": gnu.format("program", "General Public License", 2),
+        "LGPL-3.0": gnu.format("library", "Lesser General Public License", 3),
+        "AGPL-3.0": gnu.format("program", "Affero General Public License", 3),
+        "MPL-2.0": licenses.TEMPLATES["MPL-2.0"][0],
+        "ISC": licenses.TEMPLATES["ISC"][0],
+        "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+        "BSD-2-Clause": " ".join(bsd),
+        "BSD-3-Clause": licenses.TEMPLATES["BSD-3-Clause"][0],
+    }
+    rows = licenses.scan(frame(spark, [f"{prose(r, 30)} {t} {prose(r, 30)}" for t in notices.values()])).collect()
+    assert sorted((x.doc_id, x.license) for x in rows) == list(enumerate(notices))

@@ -41,8 +41,7 @@ def grams(texts: list[str | None], n: int = N) -> tuple[np.ndarray, np.ndarray,
     c = np.where(letter, all_codes, 32).astype(np.uint64)
     keep = letter.copy()
     keep[1:] |= letter[:-1]  # of a run of other signs the first alone stays
-    if len(keep):
-        keep[0] = True
+    keep[np.cumsum(sizes)[sizes > 0] - sizes[sizes > 0]] = True  # each text has its own leading gap
     c, owner = c[keep], owner[keep]
     if len(c) < n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int32), n_letters

@@ -402,3 +402,11 @@ def test_license_siblings_are_told_apart(spark):
     }
     rows = licenses.scan(frame(spark, [f"{prose(r, 30)} {t} {prose(r, 30)}" for t in notices.values()])).collect()
     assert sorted((x.doc_id, x.license) for x in rows) == list(enumerate(notices))
+
+
+def test_language_grams_do_not_depend_on_the_place_in_a_slice():
+    texts = ["hi", "hi", None, "", "a bc", "hi", "12 hi!"]
+    h, owner, _ = langid.grams(texts)
+    for i, t in enumerate(texts):
+        assert h[owner == i].tolist() == langid.grams([t])[0].tolist()
+    assert (owner == 5).sum() == 1

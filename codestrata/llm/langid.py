@@ -1,6 +1,6 @@
 """Operator 10: language identification by bit-sliced Bloom filters of character n-grams.
 
-Slot i of the filter holds a 64-bit mask with a bit for every language that has set slot i, so the AND of an n-gram's
+Slot i of the filter holds a mask of 64-bit words with a bit for every language that has set slot i, so the AND of an n-gram's
 slots names all languages that contain it. A text's language is the one with most n-grams after the expected number
 of false positives is taken off.
 """
@@ -22,7 +22,8 @@ HASHES = 3
 #: Bound of the fit: about so many documents a language, chosen by a hash, and so many of their n-grams.
 DOCS_PER_LANG = 1000
 GRAMS_PER_LANG = 6000
-MAX_LANGS = 64
+#: Languages that one word of a mask holds.
+WORD = 64
 
 
 @cache
@@ -60,23 +61,26 @@ class Filters:
     """The fitted model: learned languages, masks by slot, false positive rate by language."""
 
     def __init__(self, langs: list[str], grams_of: list[np.ndarray], size: int = SLOTS):
-        if len(langs) > MAX_LANGS:
-            raise ValueError(f"a mask has bits for {MAX_LANGS} languages")
-        self.langs, self.masks = langs, np.zeros(size, np.uint64)
+        self.langs, self.masks = langs, np.zeros((max(1, -(-len(langs) // WORD)), size), np.uint64)
         for k, g in enumerate(grams_of):
             for i in range(HASHES):
-                np.bitwise_or.at(self.masks, slots(g, i, size), np.uint64(1 << k))
-        self.false = np.array([float(((self.masks >> np.uint64(k)) & np.uint64(1)).mean()) ** HASHES for k in range(len(langs))])
+                np.bitwise_or.at(self.masks[k // WORD], slots(g, i, size), np.uint64(1 << k % WORD))
+        self.false = np.array([float(self._bits(self.masks, k).mean()) ** HASHES for k in range(len(langs))])
+
+    @staticmethod
+    def _bits(masks: np.ndarray, k: int) -> np.ndarray:
+        return (masks[k // WORD] >> np.uint64(k % WORD)) & np.uint64(1)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         h, owner, letters = grams(texts)
-        hit = self.masks[slots(h, 0, len(self.masks))]
+        size = self.masks.shape[1]
+        hit = self.masks[:, slots(h, 0, size)]
         for i in range(1, HASHES):
-            hit &= self.masks[slots(h, i, len(self.masks))]
+            hit &= self.masks[:, slots(h, i, size)]
         total = np.bincount(owner, minlength=len(texts))
         got = np.zeros((len(texts), len(self.langs)))
         for k in range(len(self.langs)):
-            bit = ((hit >> np.uint64(k)) & np.uint64(1)).astype(bool)
+            bit = self._bits(hit, k).astype(bool)
             got[:, k] = np.bincount(owner[bit], minlength=len(texts))
         got = np.maximum(0, (got - total[:, None] * self.false) / (1 - self.false))
         best = got.argmax(1) if self.langs else np.zeros(len(texts), int)
@@ -120,7 +124,10 @@ def fit(train: DataFrame, docs_per_lang: int = DOCS_PER_LANG, grams_per_lang: in
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     rows = ranked.withColumn("r", F.row_number().over(order)).where(F.col("r") <= grams_per_lang).select("lang", "gram").collect()
     langs = sorted(counts)
-    return Filters(langs, [np.array([r.gram for r in rows if r.lang == x], np.int64).view(np.uint64) for x in langs])
+    of: dict[str, list[int]] = {x: [] for x in langs}
+    for r in rows:
+        of[r.lang].append(r.gram)
+    return Filters(langs, [np.array(of[x], np.int64).view(np.uint64) for x in langs])
 
 
 def predict(docs: DataFrame, model: Filters) -> DataFrame:
@@ -129,7 +136,7 @@ def predict(docs: DataFrame, model: Filters) -> DataFrame:
     `und` and 0 for a null text and for one without a letter; a text whose n-grams no filter knows gets the first
     language with score 0; ties go to the first language in alphabetical order.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 MB whatever the input
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 MB for each 64 languages, whatever the input
 
     def make():
         m = shared.value

@@ -410,3 +410,10 @@ def test_language_grams_do_not_depend_on_the_place_in_a_slice():
     for i, t in enumerate(texts):
         assert h[owner == i].tolist() == langid.grams([t])[0].tolist()
     assert (owner == 5).sum() == 1
+
+
+def test_filters_of_more_than_64_languages():
+    names = [f"l{k:03}" for k in range(150)]
+    texts = ["".join(chr(0x4E00 + 50 * k + i) for i in range(40)) for k in range(150)]
+    model = langid.Filters(names, [langid.grams([t])[0] for t in texts])
+    assert model.predict(texts)[0] == names and model.predict(["1"])[0] == ["und"]

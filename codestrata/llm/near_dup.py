@@ -113,7 +113,7 @@ def _alive(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, how: tu
     """Indices of the pairs of rows of a and b that no batch prunes; and their matches."""
     at = np.flatnonzero(100 * np.minimum(na, nb) >= how[0] * np.maximum(na, nb))
     got, done = np.zeros(len(at), int), 0
-    for n, least in floors(*how):
+    for n, least in floors(*how[:2], min(how[2], MISS)):  # rarer bands don't loosen the pruning
         got += (a[at, done:n] == b[at, done:n]).sum(1)
         keep = got >= least
         at, got, done = at[keep], got[keep], n

@@ -417,3 +417,18 @@ def test_filters_of_more_than_64_languages():
     texts = ["".join(chr(0x4E00 + 50 * k + i) for i in range(40)) for k in range(150)]
     model = langid.Filters(names, [langid.grams([t])[0] for t in texts])
     assert model.predict(texts)[0] == names and model.predict(["1"])[0] == ["und"]
+
+
+def test_near_passages_across_and_inside_lines(spark):
+    r = random.Random(21)
+    fresh = lambda n: prose(r, n, 10**6)
+    texts, edits = {}, {10: lambda w: w[:35] + ["changed"] + w[36:], 20: lambda w: w[:35] + ["added"] + w[35:], 30: lambda w: w[:35] + w[36:]}
+    for i, edit in edits.items():
+        w = fresh(72).split()
+        wrap = lambda x: "\n".join(" ".join(x[k : k + 12]) for k in range(0, len(x), 12))
+        texts[i], texts[i + 1] = f"{fresh(20)}\n{wrap(w)}\n{fresh(15)}", f"{fresh(8)}\n{wrap(edit(w))}\n{fresh(30)}"
+    w = fresh(72).split()
+    texts[40], texts[41] = f"{fresh(400)} {' '.join(w)} {fresh(300)}", f"{fresh(100)} {' '.join(edits[10](w))} {fresh(500)}"
+    rows = substring_dup.spans(frame(spark, texts)).collect()
+    assert {(x.doc_id, x.kept_doc_id) for x in rows} == {(11, 10), (21, 20), (31, 30), (41, 40)}
+    assert all(50 <= x.n_words <= 73 for x in rows)

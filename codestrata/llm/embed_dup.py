@@ -1,33 +1,37 @@
 """Operator 6: embedding near-duplicates by a pivot-permutation index.
 
-A vector is described by its LIST nearest reference points (pivots), nearest first. The inverted lists are kept by
-sets of SHARED pivots instead of single ones, so a list holds exactly the vectors whose descriptions share at least
-these SHARED pivots, and the shared count is checked before any vector is compared. Two vectors meet in several lists;
-only the list of the smallest shared pivots counts them, so links are counted without being written out as pairs.
+A vector is described by its LIST nearest reference points (pivots), nearest first, and stands in the inverted lists of
+the POSTED nearest of them. Two vectors that meet in a list are compared if their descriptions share SHARED pivots; of
+several lists only that of the smallest shared pivot counts the pair, so links are counted without being written out.
+
+A posting carries the vector in 16-bit integers, which bounds its cosine to within some 1e-5. What is above or below
+the threshold by more is settled in the list; the few pairs in between are verified in double precision on the vectors
+themselves. Vectors of different dimensions never meet; each dimension has pivots of its own.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
+from itertools import groupby
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from .common import over_rows, stored, tidy
 from .components import components
 
-LIST = 8
-SHARED = 3
-#: Rows of one block of a crowded list.
-BLOCK = 512
-#: The fit's bound: pivots are picked among so many vectors, the least by hash.
-SAMPLE = 16_384
+LIST, POSTED, SHARED = 8, 4, 2
+#: Rows of one block of a crowded list, and of one tile of a block.
+BLOCK, TILE = 8192, 256
+#: The fit's bound: a dimension's pivots are picked among so many vectors and bytes, the least by hash.
+SAMPLE, SAMPLE_BYTES = 16_384, 32 << 20
+FULL = 32767
 
 
 def pivot_count(n: int) -> int:
-    """Grows with the cube root of the rows, so that lists of three pivots keep their length; at most 2048."""
-    return max(32, min(2048, round(64 * (n / 1000) ** (1 / 3))))
+    """Grows with the square root of the rows, and lists with it; at most 8192."""
+    return max(32, min(8192, round(4 * n**0.5)))
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
@@ -38,148 +42,176 @@ def _unit(v: np.ndarray) -> np.ndarray:
 
 def pick_pivots(sample: np.ndarray, count: int, apart: float = 0.9) -> np.ndarray:
     """The first `count` sampled unit vectors that are not near one another."""
-    out: list[np.ndarray] = []
+    out = np.zeros((min(count, len(sample)), sample.shape[1]))
+    n = 0
     for v in sample:
-        if len(out) == count:
+        if n == len(out):
             break
-        if not out or np.max(np.array(out) @ v) < apart:
-            out.append(v)
-    return np.array(out).reshape(len(out), sample.shape[1])
+        if not n or np.max(out[:n] @ v) < apart:
+            out[n] = v
+            n += 1
+    return out[:n]
 
 
 def describe(vectors: np.ndarray, pivots: np.ndarray, size: int = LIST) -> np.ndarray:
-    """Numbers of the nearest pivots, nearest first (ties by number)."""
-    return np.argsort(-(vectors @ pivots.T), axis=1, kind="stable")[:, : min(size, len(pivots))]
-
-
-def list_keys(described: np.ndarray, pivots: int) -> np.ndarray:
-    """All sets of SHARED described pivots as numbers p * P^2 + q * P + r with p < q < r."""
-    d = np.sort(described, axis=1).astype(np.int64)
-    s = min(SHARED, d.shape[1])
-    keys = np.zeros((len(d), 0), np.int64)
-    for c in combinations(range(d.shape[1]), s):
-        k = np.zeros(len(d), np.int64)
-        for i in c:
-            k = k * pivots + d[:, i]
-        keys = np.hstack([keys, k[:, None]])
-    return keys
-
-
-def _links(x: np.ndarray, ids: np.ndarray, left: np.ndarray | None, marks: np.ndarray, upto: int, weight: np.ndarray, least: float):
-    """Of one block: (ids with links here, weight of their links here, the least id of their group in this block)."""
-    linked = marks[:, : upto + 1] @ marks[:, : upto + 1].T == min(SHARED, marks.shape[1])
-    cos = x @ x.T
-    linked &= cos >= least
-    np.fill_diagonal(linked, False)
-    if left is not None:
-        linked &= left[:, None] != left[None, :]
-    some = np.flatnonzero(linked.any(1))
-    if not len(some):
-        return None
-    linked = linked[np.ix_(some, some)]
-    label = ids[some].copy()
+    """Numbers of the nearest pivots, nearest first."""
+    size = min(size, len(pivots))
+    near = -(vectors @ pivots.T)
+    some = np.argpartition(near, size - 1, axis=1)[:, :size] if size < len(pivots) else np.tile(np.arange(size), (len(vectors), 1))
+    return np.take_along_axis(some, np.lexsort((some, np.take_along_axis(near, some, 1)), axis=1), 1)
+
+
+def packed(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(16-bit codes, their unit): component = code * unit, off by half a unit at most."""
+    step = np.abs(unit).max(1) / FULL
+    return np.rint(unit / step[:, None]).astype("<i2"), step
+
+
+def _united(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """parent (the least member of each one's group) after i and j have been joined pair by pair."""
     while True:
-        lower = np.minimum(label, np.where(linked, label[None, :], np.iinfo(np.int64).max).min(1))
-        if (lower == label).all():
-            break
-        label = lower
-    return ids[some], linked @ weight[some], label
+        a, b = parent[i], parent[j]
+        apart = a != b
+        if not apart.any():
+            return parent
+        np.minimum.at(parent, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+
+
+def compared(n: np.ndarray, x: np.ndarray, slack: np.ndarray, near: np.ndarray, left: np.ndarray | None, pivot: int, least: float):
+    """Of the members of one block of the list of `pivot`: (weight of links, group, unsure pairs). With `left` only its
+    members meet the others; the members' order is theirs, so a group is named by its first."""
+    m = len(x)
+    rows, cols = (np.arange(m),) * 2 if left is None else (np.flatnonzero(left), np.flatnonzero(~left))
+    weight, parent, unsure = np.zeros(m, np.int64), np.arange(m), []
+    need = min(SHARED, near.shape[1])
+    for at in range(0, len(rows), TILE):
+        r = rows[at : at + TILE]
+        cos = x[r] @ x[cols].T
+        hit = cos >= least - slack[r][:, None] - slack[cols][None, :]
+        if left is None:
+            hit &= cols[None, :] > r[:, None]
+        a, b = np.nonzero(hit)
+        for k in range(0, len(a), 50_000):
+            p, q = a[k : k + 50_000], b[k : k + 50_000]
+            i, j, c = r[p], cols[q], cos[p, q]
+            same = near[i][:, :, None] == near[j][:, None, :]
+            first = np.where(same[:, :POSTED, :POSTED].any(2), near[i][:, :POSTED], np.iinfo(near.dtype).max).min(1) == pivot
+            good = first & (same.any(2).sum(1) >= need)
+            i, j, c = i[good], j[good], c[good]
+            sure = c >= least + slack[i] + slack[j]
+            unsure.append((i[~sure], j[~sure]))
+            i, j = i[sure], j[sure]
+            weight += np.bincount(i, n[j], m).astype(np.int64) + np.bincount(j, n[i], m).astype(np.int64)
+            parent = _united(parent, i, j)
+    return weight, parent, unsure
+
+
+def _classes(table: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows: vec_id and two hashes of the vector; classes: c, dim, rep, n, v and the hashes, one for each vector).
+
+    The hashes are null for vectors that link with nothing. c is a number of the class, fixed by being stored."""
+    kind = table.schema["embedding"].dataType
+    one = "float" if isinstance(kind, ArrayType) and isinstance(kind.elementType, FloatType) else "double"
+    rows = table.select("vec_id", F.col("embedding").cast(f"array<{one}>").alias("v"))
+    good = F.col("vec_id").isNotNull() & F.col("v").isNotNull() & F.forall("v", lambda a: a.isNotNull() & (F.abs(a) < float("inf"))) & F.exists("v", lambda a: a != 0)
+    plain = F.when(F.coalesce(good, F.lit(False)), F.transform("v", lambda a: a + F.lit(0.0).cast(one)))  # -0.0 becomes 0.0
+    rows = rows.withColumn("v", plain).withColumn("h", F.when(F.col("v").isNotNull(), F.xxhash64("v"))).withColumn("g", F.when(F.col("v").isNotNull(), F.xxhash64(F.lit(1), F.reverse("v"))))
+    classes = rows.where("v is not null").groupBy("h", "g").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("v").alias("v"))
+    return rows.select("vec_id", "h", "g"), stored(classes.select(F.monotonically_increasing_id().alias("c"), F.size("v").alias("dim"), "*"), "vectors")
+
+
+def fit(classes: DataFrame) -> dict[int, np.ndarray]:
+    """Pivots by dimension. Of each dimension at most SAMPLE vectors and SAMPLE_BYTES come to the driver."""
+    counts = {r.dim: r["count"] for r in classes.groupBy("dim").count().collect()}
+    out = {}
+    for dim, n in sorted(counts.items()):
+        most = max(64, min(SAMPLE, SAMPLE_BYTES // (8 * dim)))
+        sample = classes.where(F.col("dim") == dim).orderBy(F.xxhash64("rep", "h"), "c").limit(most).select("v").toPandas()["v"]
+        out[dim] = pick_pivots(_unit(np.array(sample.tolist())), pivot_count(n))
+    return out
 
 
 @tidy
-def near_duplicates(table: DataFrame, least: float = 0.95, dim: int | None = None) -> DataFrame:
+def near_duplicates(table: DataFrame, least: float = 0.95) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row; links are pairs with cosine >= least in double precision.
 
-    Null and zero vectors and vectors with null or non-finite components stay unlinked, and so do rows without an id
-    and vectors of another dimension than `dim` (null: the most common one). Equal vectors form a class that is
-    indexed once; each of its members counts the others. An empty table gives an empty result. The pivots come from a
-    bounded sample; every row is indexed. Retrieval misses a pair that shares fewer than SHARED of the LIST nearest
-    pivots: see the README for the measured recall.
+    Null and zero vectors and vectors with null or non-finite components stay unlinked, and so do rows without an id;
+    vectors of different dimensions don't link. Equal vectors are one class that is indexed once; each of its rows
+    counts the others. Rows are vectors of their own also where they share a vec_id; a component is named by the
+    smallest vec_id of its rows. An empty table gives an empty result. Pivots come from a bounded sample; every row is
+    indexed. Retrieval misses a pair with no common list or fewer than SHARED common pivots: the README has its recall.
     """
-    spark = table.sparkSession
-    rows = table.select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    good = F.col("vec_id").isNotNull() & F.col("v").isNotNull() & F.forall("v", lambda a: a.isNotNull() & (F.abs(a) < float("inf"))) & F.exists("v", lambda a: a != 0)
-    good = F.coalesce(good, F.lit(False))
-    if dim is None:
-        sizes = rows.where(good).groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-        dim = sizes.d if sizes else 0
-    usable = good & (F.size("v") == dim)
-    rows = rows.withColumn("v", F.when(usable, F.transform("v", lambda a: a + F.lit(0.0))))  # -0.0 becomes 0.0
-    classes = rows.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"))
-    classes = stored(classes, "vectors")
-    total = classes.count()
-    if total:
-        sample = classes.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("v").toPandas()["v"]
-        pivots = pick_pivots(_unit(np.array(sample.tolist())), pivot_count(total))
-    else:
-        pivots = np.zeros((0, dim))
-    shared = spark.sparkContext.broadcast(pivots)  # at most 2048 vectors
-
-    def make():
-        def work(v, rep, n):
-            x = _unit(np.array(v).reshape(len(v), dim))
-            keys = list_keys(describe(x, shared.value), len(shared.value))
-            return {"key": keys.ravel(), "rep": np.repeat(np.array(rep, np.int64), keys.shape[1])}
+    rows, classes = _classes(table)
+    shared = table.sparkSession.sparkContext.broadcast(fit(classes))  # at most 8192 vectors a dimension
+
+    def describing():
+        def work(c, dim, n, v):
+            out: dict[str, list] = {k: [] for k in ("c", "dim", "n", "code", "step", "near")}
+            for d in sorted(set(dim)):
+                at = [i for i, x in enumerate(dim) if x == d]
+                x = _unit(np.array([v[i] for i in at]))
+                code, step = packed(x)
+                for k, got in zip(out, ([c[i] for i in at], [d] * len(at), [n[i] for i in at], [y.tobytes() for y in code], step.tolist(), describe(x, shared.value[d]).tolist())):
+                    out[k] += got
+            return out
 
         return work
 
-    posted = over_rows(classes, ["v", "rep", "n"], "key bigint, rep bigint", make)
-    lists = posted.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.min("rep").alias("a"), F.max("rep").alias("z")).where("a != z").select("key", "blocks")
-    met = posted.join(lists, "key").join(classes, "rep")
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    met = met.withColumn("own", own).withColumn("to", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(F.col("own"), k).alias("i"), F.greatest(F.col("own"), k).alias("j")))))
-    met = met.select("key", "to.i", "to.j", "own", "rep", "n", "v").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    described = stored(over_rows(classes, ["c", "dim", "n", "v"], "c bigint, dim int, n bigint, code binary, step double, near array<int>", describing), "described")
+    posts = described.withColumn("pivot", F.explode(F.slice("near", 1, POSTED)))
+    lists = posts.groupBy("dim", "pivot").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
+    met = posts.join(F.broadcast(lists), ["dim", "pivot"])  # a row a pivot
+    met = met.withColumn("own", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
+    met = met.withColumn("to", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("own", k).alias("i"), F.greatest("own", k).alias("j")))))
+    met = met.select("dim", "pivot", "to.i", "to.j", "own", "c", "n", "code", "step", "near").repartition("dim", "pivot", "i", "j").sortWithinPartitions("dim", "pivot", "i", "j", "c")
 
     import pyarrow as pa
 
+    names = ["a", "n", "b", "sure"]
+
     def run(batches):
-        p = len(shared.value)
-        held: list[tuple] = []
-
-        def block(at, key, own, rep, n, v):
-            if len(rep) < 2:
-                return None
-            x = _unit(v)
-            marks = np.zeros((len(x), p), np.float32)
-            np.put_along_axis(marks, describe(x, shared.value), 1, 1)
-            left = None if at[1] == at[2] else own == at[1]
-            return _links(x, rep, left, marks, at[0] % p, n, least)
-
-        def groups(stream):
-            carry = None
-            for cols in stream:
-                cols = cols if carry is None else [np.concatenate(c) for c in zip(carry, cols)]
-                key, i, j = cols[:3]
-                cut = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-                starts = [0, *cut.tolist()]
-                for a, b in zip(starts, starts[1:]):
-                    yield (int(key[a]), int(i[a]), int(j[a])), [c[a:b] for c in cols]
-                carry = [c[starts[-1] :] for c in cols]
-            if carry is not None and len(carry[0]):
-                yield (int(carry[0][0]), int(carry[1][0]), int(carry[2][0])), carry
-
-        def stream():
+        def every():
             for batch in batches:
-                if batch.num_rows:
-                    flat = batch.column(6).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, dim)
-                    yield [*(batch.column(k).to_numpy(zero_copy_only=False) for k in range(6)), flat]
-
-        size = 0
-        for at, (key, i, j, own, rep, n, v) in groups(stream()):
-            found = block(at, key, own, rep, n, v)
-            if found:
-                held.append(found)
-                size += len(found[0])
-            if size > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*held)], names=["a", "n", "b"])
-                held, size = [], 0
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*held)], names=["a", "n", "b"])
-
-    found = stored(met.mapInArrow(run, "a bigint, n bigint, b bigint"), "near")
-    counts = found.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("links"))
-    groups = components(found.select("a", "b")).withColumnRenamed("id", "rep")
-    named = classes.join(counts, "rep", "left").join(groups, "rep", "left").select("v", F.coalesce("component", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"))
-    out = rows.join(named, "v", "left")
-    component = F.coalesce("component", "vec_id")
+                for k in range(0, batch.num_rows, 1000):
+                    yield from zip(*(x.to_pylist() for x in batch.slice(k, 1000).columns))
+
+        for (dim, pivot, i, j), group in groupby(every(), key=lambda r: r[:4]):
+            own, c, n, code, step, near = zip(*(r[4:] for r in group))
+            if len(c) < 2:
+                continue
+            own, c, n, step, near = np.array(own), np.array(c, np.int64), np.array(n, np.int64), np.array(step), np.array(near, np.int32)
+            x = np.frombuffer(b"".join(code), "<i2").reshape(-1, dim) * step[:, None]
+            slack = step * (0.5 * dim**0.5 * 1.001) + 1e-12  # by Cauchy's inequality, for vectors of length 1 or hardly more
+            weight, group_of, unsure = compared(n, x, slack * 1.001, near, None if i == j else own == i, pivot, least)
+            some = np.flatnonzero(weight)
+            if len(some):
+                yield pa.RecordBatch.from_arrays([pa.array(c[some]), pa.array(weight[some]), pa.array(c[group_of[some]]), pa.array(np.ones(len(some), bool))], names=names)
+            for p, q in unsure:
+                if len(p):
+                    yield pa.RecordBatch.from_arrays([pa.array(c[p]), pa.array(np.zeros(len(p), np.int64)), pa.array(c[q]), pa.array(np.zeros(len(p), bool))], names=names)
+
+    found = stored(met.mapInArrow(run, "a bigint, n bigint, b bigint, sure boolean"), "near")
+    side = lambda k: classes.select(F.col("c").alias(k), F.col("v").alias(f"v_{k}"), F.col("n").alias(f"n_{k}")).hint("merge")
+    open_ = found.where("not sure").select("a", "b").join(side("a"), "a").join(side("b"), "b")
+
+    def verifying():
+        def work(a, b, v_a, v_b, n_a, n_b):
+            keep = [k for k, (x, y) in enumerate(zip(v_a, v_b)) if float(_unit(np.array([x]))[0] @ _unit(np.array([y]))[0]) >= least]
+            return {"a": [a[k] for k in keep], "n_b": [n_b[k] for k in keep], "b": [b[k] for k in keep], "n_a": [n_a[k] for k in keep]}
+
+        return work
+
+    exact = stored(over_rows(open_, ["a", "b", "v_a", "v_b", "n_a", "n_b"], "a bigint, n_b bigint, b bigint, n_a bigint", verifying), "exact")
+    sure = found.where("sure").select("a", "n", "b")
+    links = sure.unionAll(exact.select("a", "n_b", "b")).unionAll(exact.select("b", "n_a", "a"))
+    counts = links.groupBy(F.col("a").alias("c")).agg(F.sum("n").alias("links"))
+    groups = components(links.select("a", "b")).withColumnRenamed("id", "c")
+    named = classes.select("c", "h", "g", "rep", "n").join(counts.hint("merge"), "c", "left").join(groups.hint("merge"), "c", "left").withColumn("component", F.coalesce("component", "c"))
+    named = stored(named, "named")
+    least_id = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+    named = named.join(least_id.hint("merge"), "component").select("h", "g", "component_id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"))
+    out = rows.join(named.hint("merge"), ["h", "g"], "left")
+    component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))

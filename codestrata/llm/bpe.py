@@ -32,13 +32,18 @@ def encode(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
             ids = [bpe.encode(t).tolist() for t in text]
             return {"doc_id": doc_id, "ids": ids, "text": [bpe.decode(i) for i in ids]}
 
+        work.close = bpe.forget
         return work
 
     return over_rows(docs, ["doc_id", "text"], "doc_id bigint, ids array<int>, text string", make)
 
 
 def digest(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256), computed beside the ids so that these never leave the worker."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256), computed beside the ids so that these never leave the worker.
+
+    Null and empty texts have no tokens and the digests of an empty string; repeated rows and rows without doc_id give
+    a row each; an empty table gives none; other columns are ignored. One narrow pass without a shuffle.
+    """
 
     def make():
         bpe = byte_bpe(tokenizer_path(tokenizer))
@@ -53,6 +58,7 @@ def digest(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
                 out["decoded_sha256"].append(sha256(bpe.decode(ids).encode()).hexdigest())
             return out
 
+        work.close = bpe.forget
         return work
 
     return over_rows(docs, ["doc_id", "text"], "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string", make)

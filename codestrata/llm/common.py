@@ -98,7 +98,11 @@ def marked(df: DataFrame, ids: DataFrame, to: str = "maybe") -> DataFrame:
     return met.withColumn(to, F.coalesce(F.col("doc_id").isNotNull() & (F.col("__bits").bitwiseAND(one) != 0), F.lit(False))).drop("__word", "__bits")
 
 
-def slices(batch, columns: Iterable[str], chars: int = 4_000_000) -> Iterator[list[list]]:
+#: Bytes of one slice of an Arrow batch: what a worker turns into Python objects and arrays at a time.
+SLICE = 1 << 20
+
+
+def slices(batch, columns: Iterable[str], chars: int = SLICE) -> Iterator[list[list]]:
     """Python lists of the columns of one Arrow batch, cut so that one slice holds about `chars` bytes of text."""
     names = list(columns)
     rows = batch.num_rows
@@ -110,8 +114,9 @@ def slices(batch, columns: Iterable[str], chars: int = 4_000_000) -> Iterator[li
         yield [part.column(part.schema.get_field_index(n)).to_pylist() for n in names]
 
 
-def over_rows(df: DataFrame, columns: list[str], schema: str, fn: Callable[[], Callable[..., dict]]) -> DataFrame:
-    """mapInArrow by slices: fn() is called once a task and gives a function from column lists to a dict of arrays."""
+def over_rows(df: DataFrame, columns: list[str], schema: str, fn: Callable[[], Callable[..., dict]], chars: int = SLICE) -> DataFrame:
+    """mapInArrow by slices: fn() is called once a task and gives a function from column lists to a dict of arrays. A
+    function with an attribute `close` has it called when the task ends."""
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -120,11 +125,14 @@ def over_rows(df: DataFrame, columns: list[str], schema: str, fn: Callable[[], C
 
     def run(batches):
         work = fn()
-        for batch in batches:
-            for lists in slices(batch, columns):
-                out = work(*lists)
-                if out is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in kind], schema=kind)
+        try:
+            for batch in batches:
+                for lists in slices(batch, columns, chars):
+                    out = work(*lists)
+                    if out is not None:
+                        yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in kind], schema=kind)
+        finally:
+            getattr(work, "close", lambda: None)()
 
     return df.select(*columns).mapInArrow(run, schema)
 

@@ -22,6 +22,8 @@ HASHES = 3
 #: Bound of the fit: about so many documents a language, chosen by a hash, and so many of their n-grams.
 DOCS_PER_LANG = 1000
 GRAMS_PER_LANG = 6000
+#: Bytes of text whose n-grams are in memory at a time: arrays take about 50 times as many.
+SLICE = 1 << 19
 #: Languages that one word of a mask holds.
 WORD = 64
 
@@ -39,11 +41,11 @@ def grams(texts: list[str | None], n: int = N) -> tuple[np.ndarray, np.ndarray,
     owner = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
     letter = _letters()[all_codes]
     n_letters = np.bincount(owner[letter], minlength=len(texts))
-    c = np.where(letter, all_codes, 32).astype(np.uint64)
+    all_codes = np.where(letter, all_codes, np.uint32(32))
     keep = letter.copy()
     keep[1:] |= letter[:-1]  # of a run of other signs the first alone stays
     keep[np.cumsum(sizes)[sizes > 0] - sizes[sizes > 0]] = True  # each text has its own leading gap
-    c, owner = c[keep], owner[keep]
+    c, owner = all_codes[keep].astype(np.uint64), owner[keep]
     if len(c) < n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int32), n_letters
     h = np.zeros(len(c) - n + 1, np.uint64)
@@ -119,7 +121,7 @@ def fit(train: DataFrame, docs_per_lang: int = DOCS_PER_LANG, grams_per_lang: in
 
         return work
 
-    seen = over_rows(sample, ["text", "lang"], "lang string, gram bigint, n bigint", make)
+    seen = over_rows(sample, ["text", "lang"], "lang string, gram bigint, n bigint", make, SLICE)
     ranked = seen.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     rows = ranked.withColumn("r", F.row_number().over(order)).where(F.col("r") <= grams_per_lang).select("lang", "gram").collect()
@@ -147,7 +149,7 @@ def predict(docs: DataFrame, model: Filters) -> DataFrame:
 
         return work
 
-    return over_rows(docs, ["doc_id", "text"], "doc_id bigint, lang_pred string, score double", make)
+    return over_rows(docs, ["doc_id", "text"], "doc_id bigint, lang_pred string, score double", make, SLICE)
 
 
 def keep_known(docs: DataFrame, model: Filters) -> DataFrame:
@@ -166,7 +168,7 @@ def keep_known(docs: DataFrame, model: Filters) -> DataFrame:
 
         return work
 
-    return over_rows(docs, names, schema, make)
+    return over_rows(docs, names, schema, make, SLICE)
 
 
 def held_out() -> F.Column:

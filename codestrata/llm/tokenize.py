@@ -41,11 +41,18 @@ _STEM = re.compile(r"( ?[A-Za-zªµºÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)")
 
 class Pieces(dict):
     """A memory of encoded pieces in two generations: when the young one is full it becomes the old one, so frequent
-    pieces stay and the size is bounded."""
+    pieces stay. `most` bounds the bytes of a generation, entries' own overhead counted as OVERHEAD each."""
 
-    def __init__(self, most: int = 200_000):
+    OVERHEAD = 200
+
+    def __init__(self, most: int = 16 << 20):
         super().__init__()
-        self.most, self.old = most, {}
+        self.most, self.held, self.old = most, 0, {}
+
+    def forget(self) -> None:
+        """For the end of a task: an idle worker keeps the vocabulary alone."""
+        self.clear()
+        self.held, self.old = 0, {}
 
     def make(self, piece: str) -> bytes:
         raise NotImplementedError
@@ -58,9 +65,12 @@ class Pieces(dict):
         if out is None:
             out = self.make(piece)
         if len(piece) <= 64:
-            if len(self) >= self.most:
+            size = len(piece) + len(out) + self.OVERHEAD
+            if self.held + size > self.most and self:
                 self.old = dict(self)
                 self.clear()
+                self.held = 0
+            self.held += size
             self[piece] = out
         return out
 

@@ -1,113 +1,128 @@
 """Operator 8: document fingerprints by winnowing, in DataFrame functions only.
 
-The units are words: lower-cased runs between ASCII white space. A gram is K consecutive words, and of each window of
-W consecutive grams the least hash is kept, the rightmost one of equals, with its position. So any two texts that
-share K + W - 1 consecutive words share a fingerprint. A text of fewer than K words is one gram, one of fewer than W
-grams is one window, and an empty text has no fingerprint.
+The units are words, lower-cased runs between ASCII white space. In scripts that put no space between words every code
+point is a unit, and so it is in runs of more than RUN code points, so that long and unspaced texts have units too.
+
+A gram is K consecutive units. Its hash is the cyclic polynomial of the units' 64-bit hashes, a rolling hash: with
+rotations to the left by one, h(i + 1) = rot(h(i)) xor rot^K(unit i) xor unit i + K. An array expression has no running
+state, so the same sum is built unit by unit, all grams at once.
+
+Of each window of W consecutive grams the least hash is kept, the rightmost of equals, with its position; hashes are
+ordered by their first 31 bits. So any two texts that share K + W - 1 consecutive units share a fingerprint. A text of
+fewer than K units is one gram, one of fewer than W grams is one window, and an empty text has no fingerprint.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-K = 5
-W = 4
-#: Documents in a bucket of neighbours, and the most buckets (their bounds are a literal of the plan).
+K = 3
+W = 3
+RUN = 24
+#: Documents in a bucket of neighbours, and the buckets of a group of them (of as many groups at most).
 BUCKET, GROUPS = 512, 256
 _LOW = 0x7FFFFFFF
+_SPACE = r"\x20\x09-\x0D"
+#: Thai and Lao, Myanmar, Khmer, kana, Han.
+_UNSPACED = r"\x{0E00}-\x{0EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3040}-\x{30FF}\x{3400}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{3FFFF}"
+_IN = f"[^{_SPACE}{_UNSPACED}]"
+UNIT = f"[{_UNSPACED}]|{_IN}(?={_IN}{{{RUN}}})|(?<={_IN}{{{RUN}}}){_IN}|{_IN}{{1,{RUN}}}"
+
+
+def _rotated(h: Column) -> Column:
+    return F.shiftleft(h, 1).bitwiseOR(F.shiftrightunsigned(h, 63))
 
 
-def _pairs(df: DataFrame, name: str, step: int, join) -> DataFrame:
-    """Combines each value of an array with the one `step` further on; the array ends as much earlier."""
-    x = F.col(name)
-    return df.withColumn(name, F.slice(F.zip_with(x, F.slice(x, step + 1, F.greatest(F.size(x), F.lit(1))), join), F.lit(1), F.greatest(F.size(x) - step, F.lit(0))))
+def _pairs(df: DataFrame, name: str, other: str, step: int, join) -> DataFrame:
+    """Combines each value of an array with the one of `other` that is `step` further on; the array ends with it."""
+    x, y = F.col(name), F.col(other)
+    n = F.greatest(F.size(y) - step, F.lit(0))
+    return df.withColumn(name, F.zip_with(F.slice(x, F.lit(1), n), F.slice(y, F.lit(step + 1), n), join))
 
 
 def fingerprints(df: DataFrame, text: str, to: str, k: int = K, w: int = W) -> DataFrame:
-    """Adds the array `to` of selected grams in order of position: hash << 31 | (2^31 - 1 - position).
+    """Adds the arrays `to` (positions of the selected grams, in order) and `to`_hash (their hashes).
 
-    Hashes and minima come from doubling: a gram of 2n words is a pair of grams of n words, and so for windows. Each
-    step is a column of its own, which keeps Catalyst from writing it out twice.
+    Each step is a column of its own, which keeps Catalyst from writing it out twice.
     """
-    words = F.filter(F.split(F.lower(F.col(text)), r"[\x20\x09-\x0D]+"), lambda x: x != "")
-    df = df.withColumn(to, F.transform(words, lambda x: F.xxhash64(x)))
-    whole = f"{to}_whole"
-    df = df.withColumn(whole, F.when((F.size(to) > 0) & (F.size(to) < k), F.array(F.xxhash64(to))))
-    size = 1
-    while size < k:
-        step = min(size, k - size)
-        df = _pairs(df, to, step, lambda a, b: F.xxhash64(a, b))
-        size += step
-    df = df.withColumn(to, F.coalesce(whole, to)).drop(whole)
-    df = df.withColumn(to, F.transform(to, lambda x, i: F.shiftleft(F.shiftrightunsigned(x, 33), 31).bitwiseOR(F.lit(_LOW) - i)))
-    df = df.withColumn(whole, F.when((F.size(to) > 0) & (F.size(to) < w), F.array(F.array_min(to))))
+    unit, full = f"{to}_unit", f"{to}_full"
+    df = df.withColumn(unit, F.transform(F.regexp_extract_all(F.lower(F.col(text)), F.lit(f"({UNIT})"), F.lit(1)), lambda x: F.xxhash64(x)))
+    df = df.withColumn(full, F.col(unit))
+    for step in range(1, k):
+        df = _pairs(df, full, unit, step, lambda a, b: _rotated(a).bitwiseXOR(b))
+    few = F.aggregate(unit, F.lit(0).cast("bigint"), lambda a, b: _rotated(a).bitwiseXOR(b))
+    df = df.withColumn(full, F.when((F.size(unit) > 0) & (F.size(unit) < k), F.array(few)).otherwise(F.col(full))).drop(unit)
+    df = df.withColumn(to, F.transform(full, lambda x, i: F.shiftleft(F.shiftrightunsigned(x, 33), 31).bitwiseOR(F.lit(_LOW) - i)))
+    least = f"{to}_least"
+    df = df.withColumn(least, F.when((F.size(to) > 0) & (F.size(to) < w), F.array(F.array_min(to))))
     size = 1
     while size < w:
         step = min(size, w - size)
-        df = _pairs(df, to, step, lambda a, b: F.least(a, b))
+        df = _pairs(df, to, to, step, lambda a, b: F.least(a, b))
         size += step
-    return df.withColumn(to, F.array_distinct(F.coalesce(whole, to))).drop(whole)
+    df = df.withColumn(to, F.transform(F.array_distinct(F.coalesce(least, to)), lambda v: (F.lit(_LOW) - v.bitwiseAND(_LOW)).cast("int"))).drop(least)
+    return df.withColumn(f"{to}_hash", F.transform(to, lambda p: F.element_at(full, p + 1))).drop(full)
 
 
-def shown(grams: Column) -> Column:
+def shown(positions: str, hashes: str) -> Column:
     """`position:hash` of each selected gram, in order."""
-    return F.array_join(F.transform(grams, lambda v: F.concat((F.lit(_LOW) - v.bitwiseAND(_LOW)).cast("string"), F.lit(":"), F.hex(F.shiftright(v, 31)))), " ")
-
-
-def hashes(grams: Column) -> Column:
-    return F.array_distinct(F.transform(grams, lambda v: F.shiftright(v, 31)))
+    return F.array_join(F.zip_with(positions, hashes, lambda p, h: F.concat(p.cast("string"), F.lit(":"), F.hex(h))), " ")
 
 
 def likeness(a: str, b: str) -> Column:
     """Shared share of the distinct hashes of two texts; 1 if neither has any."""
     both = F.size(F.array_intersect(a, b))
-    union = F.size(a) + F.size(b) - both
+    union = F.size(F.array_union(a, b))
     return F.when(union == 0, F.lit(1.0)).otherwise(both / union)
 
 
-def with_next(df: DataFrame, order: str, columns: list[str]) -> DataFrame:
-    """Adds next_<column> of the next row by ascending `order`; the last row gets the first one's.
+def dealt(df: DataFrame, order: str, ties: str) -> tuple[DataFrame, list[str]]:
+    """(df in ranges of `order` that are buckets of a partition, sorted, with the bounding rows copied; the bucket's columns).
 
-    Bounds from quantiles cut the order into buckets. The row at a bound is dealt to its own bucket and, as a
-    sentinel, to the one before, so each bucket finds all its successors in one shuffle and no task sees more.
+    Quantiles cut the order into buckets. The rows at a bound are dealt to their own bucket and, as sentinels, to the one
+    before, so each bucket finds all successors of its rows after one shuffle and no task sees more. The bounds, at most
+    GROUPS * GROUPS numbers, reach the rows as the value of a scalar subquery and aren't part of the plan.
     """
     key = F.coalesce(F.col(order), F.lit(-(1 << 63)))
-    n, least = df.agg(F.count(F.lit(1)), F.min(key)).first()
-    if not n:
-        return df.select("*", *[F.col(c).alias(f"next_{c}") for c in columns])
+    n = df.count()
     parts = max(1, min(GROUPS * GROUPS, n // BUCKET))
-    cuts = df.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)], max(10_000, 4 * parts))).first()[0] if parts > 1 else []
-    bounds = sorted({least, *cuts})
-    groups = [bounds[i : i + GROUPS] for i in range(0, len(bounds), GROUPS)]
-    longs = lambda xs: F.array(*[F.lit(x).cast("bigint") for x in xs])
-    outer = F.size(F.filter(longs([g[0] for g in groups]), lambda b: b <= key))
-    inner = F.size(F.filter(F.element_at(F.array(*map(longs, groups)), outer), lambda b: b <= key))
-    at = f"__{order}_bucket"
-    df = df.withColumn(at, (outer - 1) * GROUPS + inner)
-    first = F.array_contains(F.element_at(F.array(*map(longs, groups)), F.floor((F.col(at) - 1) / GROUPS).cast("int") + 1), key)
-    before = F.when(F.col(at) == 1, F.lit(len(bounds))).otherwise(F.col(at) - 1)
-    copies = F.when(first, F.array(F.struct(F.col(at).alias("b"), F.lit(0).alias("s")), F.struct(before.alias("b"), F.lit(1).alias("s")))).otherwise(F.array(F.struct(F.col(at).alias("b"), F.lit(0).alias("s"))))
-    deal, late, rank = f"{at}_deal", f"{at}_late", f"{at}_rank"
-    dealt = df.withColumn(deal, F.explode(copies)).select(*df.columns[:-1], F.col(f"{deal}.b").alias(at), F.col(f"{deal}.s").alias(late), key.alias(rank))
-    by = Window.partitionBy(at).orderBy(late, rank)
-    dealt = dealt.select("*", *[F.lead(c).over(by).alias(f"next_{c}") for c in columns])
-    return dealt.where(F.col(late) == 0).drop(at, late, rank)
+    at, late, rank = f"__{order}_bucket", f"__{order}_late", f"__{order}_rank"
+    cuts = F.array(F.min(key))
+    if parts > 1:
+        shares = F.from_json(F.lit(json.dumps([i / parts for i in range(1, parts)])), "array<double>")
+        cuts = F.concat(cuts, F.percentile_approx(key, shares, max(10_000, 4 * parts)))
+    bounds = df.agg(F.array_sort(F.array_distinct(cuts)).alias("b"))
+    groups = F.transform(F.sequence(F.lit(0), F.floor((F.size("b") - 1) / GROUPS).cast("int")), lambda g: F.slice("b", g * GROUPS + 1, F.lit(GROUPS)))
+    bounds = bounds.select(F.struct(F.size("b").alias("n"), F.transform(groups, lambda g: g[0]).alias("heads"), groups.alias("groups")).alias("b")).scalar()
+    df, bounds = df.withColumns({rank: key, f"{at}_bounds": bounds}), F.col(f"{at}_bounds")
+    df = df.withColumn(f"{at}_outer", F.size(F.filter(bounds["heads"], lambda b: b <= F.col(rank))))
+    group = F.element_at(bounds["groups"], F.col(f"{at}_outer"))
+    df = df.withColumn(at, (F.col(f"{at}_outer") - 1) * GROUPS + F.size(F.filter(group, lambda b: b <= F.col(rank))))
+    before = F.when(F.col(at) == 1, bounds["n"]).otherwise(F.col(at) - 1)
+    own = F.struct(F.col(at).alias("b"), F.lit(0).alias("s"))
+    copies = F.when(F.array_contains(group, F.col(rank)), F.array(own, F.struct(before.alias("b"), F.lit(1).alias("s")))).otherwise(F.array(own))
+    rows = df.withColumn("__deal", F.explode(copies)).drop(at, f"{at}_outer", f"{at}_bounds").withColumns({at: F.col("__deal.b"), late: F.col("__deal.s")}).drop("__deal")
+    return rows.repartition(at).sortWithinPartitions(at, late, rank, ties), [at, late, rank]
 
 
 def compare(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
     """Fingerprints of every text, of its edited text, and their likeness (see the query's contract).
 
-    Null texts count as empty; a null doc_id sorts first; other columns are ignored. Rows with one doc_id all stay
-    (their order among themselves is open, and each sentinel among them serves the bucket before).
+    Null texts count as empty; a null doc_id sorts first; other columns are ignored. Rows with one doc_id all stay and
+    follow each other in the order of their texts; the first of them is the next of the document before. An empty table
+    gives an empty result.
     """
-    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    base, (at, late, rank) = dealt(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id", "text")
     base = fingerprints(base, "text", "grams", k, w)
-    near = with_next(base, "doc_id", ["text", "grams"])
+    by = Window.partitionBy(at).orderBy(late, rank, "text")
+    near = base.select("*", F.lead("text").over(by).alias("next_text"), F.lead("grams_hash").over(by).alias("c")).where(F.col(late) == 0)
     half = F.floor(F.length("text") / 2).cast("int")
-    near = near.withColumn("n_chars", F.length("text").cast("bigint")).withColumn("edited", F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next_text", F.lit(1), half)))
-    near = near.select("doc_id", "n_chars", "grams", "next_grams", "edited", F.sha2("edited", 256).alias("edited_sha256"))
-    near = fingerprints(near, "edited", "edited_grams", k, w)
-    near = near.select("doc_id", "n_chars", "edited_sha256", shown(F.col("grams")).alias("fingerprint"), shown(F.col("edited_grams")).alias("edited_fingerprint"), hashes(F.col("grams")).alias("a"), hashes(F.col("edited_grams")).alias("b"), hashes(F.col("next_grams")).alias("c"))
-    return near.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness("a", "b").alias("near_edited"), likeness("a", "c").alias("near_next"))
+    edited = F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next_text", F.lit(1), half))
+    near = near.select("doc_id", F.length("text").cast("bigint").alias("n_chars"), "grams", "grams_hash", "c", edited.alias("edited"))
+    near = near.withColumn("edited_sha256", F.sha2("edited", 256))
+    near = fingerprints(near, "edited", "b", k, w)
+    return near.select("doc_id", "n_chars", "edited_sha256", shown("grams", "grams_hash").alias("fingerprint"), shown("b", "b_hash").alias("edited_fingerprint"), likeness("grams_hash", "b_hash").alias("near_edited"), likeness("grams_hash", "c").alias("near_next"))

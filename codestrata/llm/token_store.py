@@ -1,8 +1,10 @@
 """Operator 1: token ids in binary shards of independent zstandard frames.
 
-A shard is a file in the public seekable format: data frames (each with its own content checksum), a skippable
-frame with the document index, a skippable frame with the seek table (compressed size, size and checksum of every
-frame). A reader that wants some documents fetches the two tables from the end and decompresses only their frames.
+A shard is a file in Zstandard's seekable format, version 0.1: data frames (each with its own content checksum), a
+skippable frame with the document index, and a skippable frame with the seek table: compressed size, size and checksum
+(the low 32 bits of the content's XXH64) of every frame. The index is an entry of the table too, of size 0, as the format
+hides other frames from readers of the content. A reader that wants some documents fetches the two tables from the end
+and decompresses only their frames.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 SKIP, INDEX_SKIP, SEEK_MAGIC = 0x184D2A5E, 0x184D2A50, 0x8F92EAB1
 FRAME_BYTES = 1 << 20
+#: A document's entry in the index: whether it has an id, the id, its frame, its first byte there, its tokens.
+ENTRY = 5
 
 
 def _filesystem(uri: str):
@@ -30,6 +34,12 @@ def _filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def checksum(content: bytes) -> int:
+    from xxhash import xxh64_intdigest
+
+    return xxh64_intdigest(content) & 0xFFFFFFFF
+
+
 class ShardWriter:
     """Writes documents in order; a frame is closed once it holds frame_bytes, so a document lies in one frame."""
 
@@ -41,8 +51,8 @@ class ShardWriter:
         self.buffer: list[bytes] = []
         self.held, self.frames, self.docs = 0, [], []
 
-    def add(self, doc_id: int, ids: bytes) -> None:
-        self.docs.append((doc_id, len(self.frames), self.held, len(ids) // 4))
+    def add(self, doc_id: int | None, ids: bytes) -> None:
+        self.docs.append((doc_id is not None, doc_id or 0, len(self.frames), self.held, len(ids) // 4))
         self.buffer.append(ids)
         self.held += len(ids)
         if self.held >= self.most:
@@ -53,20 +63,22 @@ class ShardWriter:
             raw = b"".join(self.buffer)
             packed = self.zstd.compress(raw)
             self.out.write(packed)
-            self.frames.append((len(packed), len(raw), zlib.crc32(raw)))
+            self.frames.append((len(packed), len(raw), checksum(raw)))
             self.buffer, self.held = [], 0
 
     def close(self) -> None:
         self.flush()
-        index = self.zstd.compress(np.array(self.docs, "<i8").reshape(-1, 4).tobytes())
+        index = self.zstd.compress(np.array(self.docs, "<i8").reshape(-1, ENTRY).tobytes())
         self.out.write(struct.pack("<II", INDEX_SKIP, len(index)) + index)
+        self.frames.append((8 + len(index), 0, checksum(b"")))
         n = len(self.frames)
         self.out.write(struct.pack("<II", SKIP, 12 * n + 9) + b"".join(struct.pack("<III", *f) for f in self.frames))
         self.out.write(struct.pack("<IBI", n, 0x80, SEEK_MAGIC))
 
 
 class ShardReader:
-    """Random access to a shard. Each frame that is read is held against the seek table and its own checksum."""
+    """Random access to a shard. Each frame that is read is held against the seek table and its own checksum. Of the
+    frames the last is the index."""
 
     def __init__(self, file):
         self.file = file
@@ -82,11 +94,11 @@ class ShardReader:
             raise ValueError("the seek table is damaged")
         self.frames = np.frombuffer(file.read(12 * n), "<u4").reshape(n, 3)
         self.starts = np.concatenate([[0], np.cumsum(self.frames[:, 0], dtype=np.int64)])
-        file.seek(int(self.starts[-1]))
-        kind, length = struct.unpack("<II", file.read(8))
-        if kind != INDEX_SKIP:
+        file.seek(int(self.starts[-2]) if n else 0)
+        kind, length = struct.unpack("<II", file.read(8)) if n else (0, 0)
+        if kind != INDEX_SKIP or self.starts[-1] != table - 8:
             raise ValueError("the document index is missing")
-        self.index = np.frombuffer(self._zstd().decompress(file.read(length)), "<i8").reshape(-1, 4)
+        self.index = np.frombuffer(self._zstd().decompress(file.read(length)), "<i8").reshape(-1, ENTRY)
 
     @staticmethod
     def _zstd():
@@ -97,29 +109,31 @@ class ShardReader:
     def frame(self, k: int) -> bytes:
         self.file.seek(int(self.starts[k]))
         raw = self._zstd().decompress(self.file.read(int(self.frames[k, 0])))
-        if len(raw) != self.frames[k, 1] or zlib.crc32(raw) != self.frames[k, 2]:
+        if len(raw) != self.frames[k, 1] or checksum(raw) != self.frames[k, 2]:
             raise ValueError(f"frame {k} fails its checksum")
         return raw
 
     def documents(self):
         """(doc_id, ids as bytes) of all documents in order; one frame is held at a time."""
         at, raw = -1, b""
-        for doc_id, k, begin, n in self.index.tolist():
+        for known, doc_id, k, begin, n in self.index.tolist():
             if k != at and n:
                 at, raw = k, self.frame(k)
-            yield doc_id, raw[begin : begin + 4 * n] if n else b""
+            yield doc_id if known else None, raw[begin : begin + 4 * n] if n else b""
 
-    def get(self, doc_id: int) -> list[np.ndarray]:
-        """The ids of every document with this id; only their frames are decompressed."""
-        return [np.frombuffer(self.frame(k)[b : b + 4 * n], "<u4") if n else np.zeros(0, "<u4") for _, k, b, n in self.index[self.index[:, 0] == doc_id].tolist()]
+    def get(self, doc_id: int | None) -> list[np.ndarray]:
+        """The ids of every document with this id (None: of those without one); only their frames are decompressed."""
+        known = self.index[:, 0] == 1
+        chosen = ~known if doc_id is None else known & (self.index[:, 1] == doc_id)
+        return [np.frombuffer(self.frame(k)[b : b + 4 * n], "<u4") if n else np.zeros(0, "<u4") for _, _, k, b, n in self.index[chosen].tolist()]
 
 
 def write(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: int = END_ID) -> DataFrame:
     """Encodes every whole text, appends end_id and writes shards in ascending doc_id order below path.
 
     Returns the manifest (shard, file, docs, tokens), one row a shard. Null texts count as empty (only end_id),
-    repeated rows are all written, a null doc_id is written as -1 and sorts first. Range partitioning splits by
-    doc_id, so a hot source can't fill a shard; a shard is written to a name of its own attempt and then renamed,
+    repeated rows are all written, those of one doc_id in the order of their texts (null first); a null doc_id stays null
+    and sorts first. Range partitioning splits by doc_id, so a hot source can't fill a shard; a shard is written to a name of its own attempt and then renamed,
     so a task that is run again replaces the same file with the same bytes.
     """
     import pyarrow as pa
@@ -147,14 +161,15 @@ def write(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: int =
                     ids = bpe.encode(t) + end
                     tokens += len(ids) // 4
                     writer.add(d, ids)
+        bpe.forget()
         if out is not None:
             writer.close()
             out.close()
             fs.move(temp, final)
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "file": [final], "docs": pa.array([len(writer.docs)], pa.int64()), "tokens": pa.array([tokens], pa.int64())})
 
-    rows = docs.select(F.coalesce("doc_id", F.lit(-1)).cast("bigint").alias("doc_id"), "text")
-    return rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id").mapInArrow(run, schema)
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    return rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, schema)
 
 
 def read(manifest: DataFrame, path: str) -> DataFrame:

@@ -19,6 +19,8 @@ from .common import stored
 
 LEVELS = ["domain", "lang", "source"]
 NONE = "(none)"
+#: The most leaves that are broadcast: some 20 MB.
+LEAVES = 100_000
 #: Documents for which the seeded order has 16 more buckets; one bucket a leaf is put in order.
 BUCKET = 50_000
 
@@ -49,34 +51,21 @@ def split(budget: Fraction, weights: dict, most: dict) -> dict:
 
 def budgets(supply: dict[tuple, int], budget: int, weights: list[dict], epochs: int) -> dict[tuple, int]:
     """Whole tokens for each leaf. supply: tokens by path; weights: by level, name -> weight (1 if it has none)."""
-    out: dict[tuple, int] = {}
-
-    def down(path: tuple, amount: Fraction) -> None:
-        depth = len(path)
-        if path in supply:
-            out[path] = int(amount)
-            return
-        below: dict = {}
-        for leaf, n in supply.items():
-            if leaf[:depth] == path:
-                below[leaf[depth]] = below.get(leaf[depth], 0) + n * epochs
-        shares = {k: Fraction(str(weights[depth].get(k, 1))) for k in sorted(below)}
-        for k, x in split(amount, shares, below).items():
-            down((*path, k), x)
-
-    if supply:
-        down((), Fraction(budget))
-    return out
-
-
-def copies(docs: DataFrame, domain: Column, weights: list[dict], budget: float = 0.8, epochs: int = 2, seed: int = 7) -> DataFrame:
-    """docs with domain, n_tokens and copies (0 or more): how many times the mix holds each document.
-
-    budget: tokens of the mix as a share of all tokens. Null domains, languages and sources are a leaf "(none)" each.
-    Texts without words cost nothing and are taken as often as their leaf's order says. Rows with equal doc_id have
-    equal places in the order and are taken or left together. Only leaves (their sums, budgets and last keys) come
-    to the driver; documents are decided in place by their leaf's row, so no text is shuffled.
-    """
+    below: dict[tuple, dict] = {}  # node -> child -> what the child's subtree can supply
+    for leaf, n in supply.items():
+        for depth, name in enumerate(leaf):
+            children = below.setdefault(leaf[:depth], {})
+            children[name] = children.get(name, 0) + n * epochs
+    amounts: dict[tuple, Fraction] = {(): Fraction(budget)}
+    for node in sorted(below, key=lambda p: (len(p), p)):
+        shares = {k: Fraction(str(weights[len(node)].get(k, 1))) for k in sorted(below[node])}
+        for k, x in split(amounts[node], shares, below[node]).items():
+            amounts[(*node, k)] = x
+    return {leaf: int(amounts[leaf]) for leaf in supply}
+
+
+def decided(docs: DataFrame, domain: Column, weights: list[dict], budget: float = 0.8, epochs: int = 2, seed: int = 7) -> DataFrame:
+    """docs, all columns as they are, with __domain, __n (tokens) and __copies (see copies())."""
     spark = docs.sparkSession
     leaf = {"domain": domain, "lang": F.col("lang"), "source": F.col("source")}
     path = [F.coalesce(c.cast("string"), F.lit(NONE)).alias(f"__{k}") for k, c in leaf.items()]
@@ -87,7 +76,8 @@ def copies(docs: DataFrame, domain: Column, weights: list[dict], budget: float =
     given = budgets({k: s for k, (s, _) in sums.items()}, int(Fraction(str(budget)) * total), weights, epochs)
     parts = min(1 << 16, rows // BUCKET * 16 + 64)  # small inputs have buckets too
     plan = [(*k, b // sums[k][0] if sums[k][0] else 0, b % sums[k][0] if sums[k][0] else 0) for k, b in given.items()]
-    leaves = spark.createDataFrame(plan, ", ".join([*(f"{n} string" for n in names), "__full bigint", "__rest bigint"]))
+    small = F.broadcast if len(plan) <= LEAVES else (lambda df: df)
+    leaves = small(spark.createDataFrame(plan, ", ".join([*(f"{n} string" for n in names), "__full bigint", "__rest bigint"])))
     place = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("__full").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     bucket = F.floor(F.conv(F.substring(F.col("__place"), 1, 8), 16, 10).cast("bigint") * parts / F.lit(1 << 32))
     ordered = short.join(leaves, names).where("__rest > 0").withColumn("__place", place).withColumn("__bucket", bucket)
@@ -100,12 +90,28 @@ def copies(docs: DataFrame, domain: Column, weights: list[dict], budget: float =
     firsts = inside.groupBy(*names).agg(F.min("__bucket").alias("__edge"))
     ends = {tuple(r[k] for k in names): (r["__edge"], r["__last"]) for r in firsts.join(last, names, "left").collect()}
     final = [(*row[:4], *ends.get(row[:3], (None, None))) for row in plan]
-    decided = spark.createDataFrame(final, ", ".join([*(f"{n} string" for n in names), "__full bigint", "__edge bigint", "__last string"]))
-    met = docs.withColumns({**{n: p for n, p in zip(names, path)}, "__n": tokens("text")}).join(decided, names, "left")
+    ended = small(spark.createDataFrame(final, ", ".join([*(f"{n} string" for n in names), "__full bigint", "__edge bigint", "__last string"])))
+    met = docs.withColumns({**{n: p for n, p in zip(names, path)}, "__n": tokens("text")}).join(ended, names, "left")
     met = met.withColumn("__place", place).withColumn("__bucket", bucket)
     extra = F.coalesce(F.when(F.col("__bucket") < F.col("__edge"), 1).when((F.col("__bucket") == F.col("__edge")) & (F.col("__place") <= F.col("__last")), 1), F.lit(0))
+    return met.select(*docs.columns, "__domain", "__n", (F.coalesce("__full", F.lit(0)) + extra).cast("int").alias("__copies"))
+
+
+def copies(docs: DataFrame, domain: Column, weights: list[dict], budget: float = 0.8, epochs: int = 2, seed: int = 7) -> DataFrame:
+    """docs with domain, n_tokens and copies (0 or more): how many times the mix holds each document.
+
+    budget: tokens of the mix as a share of all tokens. Null domains, languages and sources are a leaf "(none)" each.
+    Texts without words cost nothing and are taken as often as their leaf's order says. Rows with equal doc_id, also
+    those without one, have equal places in the order and are taken or left together. Columns of docs with the names of
+    the three new ones give way to them. An empty table gives an empty result.
+
+    The tree is the driver's: leaves, their sums, budgets and last keys come to it, some hundred bytes a leaf, and up to
+    LEAVES leaves go to every task, so that documents are decided in place and no text is shuffled. With more leaves
+    the texts are joined to them, which adaptive execution splits where a leaf is hot.
+    """
+    out = decided(docs, domain, weights, budget, epochs, seed)
     own = [c for c in docs.columns if c not in ("domain", "n_tokens", "copies")]
-    return met.select(*own, F.col("__domain").alias("domain"), F.col("__n").alias("n_tokens"), (F.coalesce("__full", F.lit(0)) + extra).cast("int").alias("copies"))
+    return out.select(*own, F.col("__domain").alias("domain"), F.col("__n").alias("n_tokens"), F.col("__copies").alias("copies"))
 
 
 #: The weights and the grouping of sources that the query and the pipeline use.
@@ -121,6 +127,7 @@ def domain_of(source: str = "source") -> Column:
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
-    """docs, each row as many times as copies() says; the columns stay."""
-    taken = copies(docs, domain_of(), WEIGHTS, **how).where("copies > 0")
-    return taken.withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(docs.columns)
+    """docs, each row as many times as copies() says. All columns stay as they are, whatever their names; null and empty
+    texts, repeated rows, rows without doc_id and empty tables are as in copies()."""
+    taken = decided(docs, domain_of(), WEIGHTS, **how).where("__copies > 0")
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(docs.columns)

@@ -11,6 +11,8 @@ from .langid import held_out
 
 NAMES = ["length", "words", "word_length", "long_words", "upper", "digits", "marks", "stops", "exclaim", "lines", "variety", "top_word", "repeated_lines", "capital_words", "joined"]
 D = len(NAMES)
+#: Parts of one in which statistics are counted for the fit.
+UNIT = 1 << 16
 _ARRAY = f"doc_id bigint, x array<double>"
 
 
@@ -81,27 +83,28 @@ class Discriminant:
 
 def fit(labelled: DataFrame) -> Discriminant:
     """From (x, quality): counts, sums and cross products over all labelled rows, added up by Spark on each side of
-    a shuffle; a row a class comes to the driver. Null labels and labels other than 0 and 1 are left out. With one
-    class only its label is returned for every text, with none 0.5."""
+    a shuffle; a row a class comes to the driver. Statistics count in units of 1 / UNIT, so the sums are of whole numbers
+    and don't depend on the order of tasks. Null labels and labels other than 0 and 1 are left out. With one class only
+    its label is returned for every text, with none 0.5."""
+    from decimal import Decimal
+
     import pyarrow as pa
 
     def run(batches):
-        sums: dict[int, np.ndarray] = {}
         for batch in batches:
             if batch.num_rows:
                 x = np.array(batch.column(0).to_pylist(), float)
-                x = np.hstack([np.ones((len(x), 1)), x])
+                x = np.rint(np.hstack([np.ones((len(x), 1)), x]) * UNIT).astype(np.int64)
                 q = np.array(batch.column(1).to_pylist())
                 for k in (0, 1):
                     if (q == k).any():
-                        sums[k] = sums.get(k, 0) + x[q == k].T @ x[q == k]
-        for k, s in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k] * s.size, pa.int32()), pa.array(np.arange(s.size), pa.int32()), pa.array(s.ravel())], names=["k", "i", "v"])
+                        s = x[q == k].T @ x[q == k]
+                        yield pa.RecordBatch.from_arrays([pa.array([k] * s.size, pa.int32()), pa.array(np.arange(s.size), pa.int32()), pa.array(map(Decimal, s.ravel().tolist()), pa.decimal128(38, 0))], names=["k", "i", "v"])
 
-    rows = labelled.where("quality in (0, 1)").select("x", F.col("quality").cast("int")).mapInArrow(run, "k int, i int, v double")
+    rows = labelled.where("quality in (0, 1)").select("x", F.col("quality").cast("int")).mapInArrow(run, "k int, i int, v decimal(38,0)")
     parts: dict[int, np.ndarray] = {}
     for r in rows.groupBy("k", "i").agg(F.sum("v").alias("v")).collect():
-        parts.setdefault(r.k, np.zeros((D + 1) ** 2))[r.i] = r.v
+        parts.setdefault(r.k, np.zeros((D + 1) ** 2))[r.i] = int(r.v) / UNIT**2
     return Discriminant({k: (m[0, 0], m[0, 1:], m[1:, 1:]) for k, v in parts.items() for m in [v.reshape(D + 1, D + 1)]})
 
 
@@ -109,7 +112,8 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every whole text; null texts are scored as empty.
 
     The statistics are computed once and stored without the texts; labels meet these short rows in a join by doc_id.
-    A label given twice for a document counts twice. Duplicate documents each get their row.
+    A label given twice for a document counts twice. Repeated rows each get a row, and rows without doc_id too, which
+    aren't held out and meet no label; an empty table gives an empty result; other columns are ignored.
     """
     x = stored(features(docs), "quality")
     gold = labels.where("quality is not null").select("doc_id", "quality")

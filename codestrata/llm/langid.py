@@ -94,6 +94,7 @@ class Filters:
 
 def fit(train: DataFrame, docs_per_lang: int = DOCS_PER_LANG, grams_per_lang: int = GRAMS_PER_LANG) -> Filters:
     """Learns from (doc_id, text, lang). Rows with a null lang or text are left out; no row at all gives no language.
+    Repeated rows count as often as they come.
 
     The fit's bound: about docs_per_lang documents of each language, whole texts, and their grams_per_lang most
     frequent n-grams. Only those n-grams, a bounded number, come to the driver.
@@ -136,7 +137,8 @@ def predict(docs: DataFrame, model: Filters) -> DataFrame:
     """(doc_id, lang_pred, score) of every whole text in one narrow pass.
 
     `und` and 0 for a null text and for one without a letter; a text whose n-grams no filter knows gets the first
-    language with score 0; ties go to the first language in alphabetical order.
+    language with score 0; ties go to the first language in alphabetical order. Repeated rows and rows without doc_id
+    have a row each; an empty table gives an empty result; other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 MB for each 64 languages, whatever the input
 
@@ -153,7 +155,11 @@ def predict(docs: DataFrame, model: Filters) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, model: Filters) -> DataFrame:
-    """docs without the rows whose prediction is `und`; decided in place, so no text is shuffled."""
+    """docs without the rows whose prediction is `und`; decided in place, so no text is shuffled.
+
+    Null texts and texts without a letter go; with a model of no language all rows go. Repeated rows and rows without
+    doc_id are decided each by its text; an empty table stays empty; columns of any name stay as they are.
+    """
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     names = docs.columns
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -6,6 +6,8 @@ import argparse
 import json
 import sys
 
+from pyspark.sql import functions as F
+
 from . import config
 from .operators import graph, members
 
@@ -22,8 +24,9 @@ def _parser() -> argparse.ArgumentParser:
         s.add_argument("--include", nargs="*")
         s.add_argument("--exclude", nargs="*")
         s.add_argument("--nested", type=int, dest="maxNestedStructDepth")
-    s = sub.add_parser("watch", help="follow a folder of JSON event files")
-    s.add_argument("events")
+    s = sub.add_parser("watch", help="follow the tree, or a folder of JSON event files")
+    s.add_argument("events", nargs="?")
+    s.add_argument("--poll", type=float, default=2.0, help="seconds between two listings of the tree")
     s.add_argument("--batch", type=float)
     s.add_argument("--min-lines", type=int)
     s.add_argument("--debounce", type=int)
@@ -65,11 +68,13 @@ def _provider(settings: dict, stub: bool):
 
 
 def _show(df, as_json: bool, say) -> None:
-    rows = df.toJSON().collect() if as_json else df.collect()
-    for r in rows:
-        say(r if as_json else "  ".join(str(x) for x in r))
+    """Prints row after row; of the result one partition at a time is on the driver."""
+    n = 0
+    for r in (df.select(F.to_json(F.struct("*"))) if as_json else df).toLocalIterator():
+        say(r[0] if as_json else "  ".join(str(x) for x in r))
+        n += 1
     if not as_json:
-        say(f"{len(rows)} found")
+        say(f"{n} found")
 
 
 def main(argv: list[str] | None = None, spark=None, say=print) -> int:
@@ -100,8 +105,13 @@ def main(argv: list[str] | None = None, spark=None, say=print) -> int:
 
             w = c["watcher"]
             pick = lambda x, k: w[k] if x is None else x
-            events = spark.readStream.schema(EVENT).json(a.events)
+            tree = None if a.events else e.tree_events()
+            if tree:
+                tree.poll()
+            events = tree.stream() if tree else spark.readStream.schema(EVENT).json(a.events)
             watcher = e.watch(events, batch_minutes=pick(a.batch, "batchIntervalMinutes"), least_lines=pick(a.min_lines, "minChangeLines"), debounce_ms=pick(a.debounce, "debounceMs"), once=a.once)
+            while tree and not a.once and not watcher.query.awaitTermination(max(1, round(a.poll))):
+                tree.poll()
             watcher.query.awaitTermination()
             e.stop_watching()
         elif a.command == "symbol":

@@ -20,11 +20,12 @@ class Engine:
     same tables as a full one; a file that can't be parsed keeps its old row and is tried again.
     """
 
-    def __init__(self, spark: SparkSession, path: str, root: str = ".", include=("**/*",), exclude=source.EXCLUDE, languages=None, nested: int = 3, log: Callable[[str], None] | None = None):
+    def __init__(self, spark: SparkSession, path: str, root: str = ".", include=("**/*",), exclude=source.EXCLUDE, languages=None, nested: int = 3, log: Callable[[str], None] | None = None, progress: Callable[[int, int], None] | None = None):
         self.spark, self.root, self.path = spark, root, path.rstrip("/")
         self.include, self.exclude, self.languages, self.nested = list(include), list(exclude), languages, nested
         self.store = store.Store(spark, path)
         self.log = log or (lambda message: None)
+        self.progress = progress  # called with the files indexed and the files that had changed
         self._tables: dict[str, DataFrame] | None = None
 
     def __enter__(self) -> Engine:
@@ -58,16 +59,19 @@ class Engine:
         if mode not in ("incremental", "full"):
             raise ValueError("mode is incremental or full")
         now = int(time.time()) if now is None else now
-        found = source.scan(self.spark, self.root, self.include, self.exclude, self.languages)
+        how = (self.include, self.exclude, self.languages)
+        found = source.scan(self.spark, self.root, *how) if paths is None else source.read(self.spark, self.root, paths, *how)
         old = self.store.read() if self.store.exists() else self.store.empty()
         known = old["files"] if mode == "incremental" else self.store.empty()["files"]
-        todo = found if paths is None else found.where(F.col("path").isin(paths))
-        new = self._stored(source.changed(todo, known), "changed")
+        new = self._stored(source.changed(found, known), "changed")
         fresh = self._stored(source.extract(new, self.nested), "items")
         failed = fresh.where("item = 'error'").select("path", "error")
         good = new.join(failed, "path", "left_anti").drop("content")
-        self.log(f"{new.count()} files changed")
-        gone = source.vanished(found, known) if prune and paths is None else known.limit(0)
+        done, total = good.count(), new.count()
+        self.log(f"{total} files changed")
+        if self.progress:
+            self.progress(done, total)
+        gone = source.vanished(source.listed(self.spark, self.root, *how), known) if prune and paths is None else known.limit(0)
         base = known.join(gone.select("path"), "path", "left_anti")
         listed = self._stored(store.upsert_files(base, good, now, f"{self.path}/work/ids-{time.time_ns()}"), "files")
         kept = self._items() if mode == "incremental" else None
@@ -205,6 +209,12 @@ class Engine:
         t = self.tables
         return search.semantic_search(t["symbol_embeddings"], t["symbols"], t["files"], query, model, top_k, language, kind, min_similarity)
 
+    def tree_events(self):
+        """A poller of the engine's tree, whose stream() is for watch()."""
+        from .streaming.tree import TreeEvents
+
+        return TreeEvents(self.spark, self.root, f"{self.path}/tree", self.include, self.exclude, self.languages)
+
     def watch(self, events: DataFrame, **how):
         """A started Watcher that keeps the index up to date with a stream of file events."""
         from .streaming.events import Watcher

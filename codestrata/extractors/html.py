@@ -6,10 +6,17 @@ from html.parser import HTMLParser
 
 from .tokens import Source, signature
 
-#: Tags that are no symbols of their own.
-STANDARD = set(
-    "html head body title meta link script style div span p a img ul ol li table tr td th form input button select option textarea header footer nav main section article aside h1 h2 h3 h4 h5 h6 br hr strong em code pre blockquote iframe video audio canvas svg path rect circle line polygon text g defs use symbol".split()
-)
+# The tags that are no symbols of their own.
+STANDARD = {
+    "html", "head", "body", "title", "meta", "link", "style", "script",
+    "div", "span", "p", "a", "img", "ul", "ol", "li", "table", "tr", "td", "th",
+    "form", "input", "button", "textarea", "select", "option",
+    "h1", "h2", "h3", "h4", "h5", "h6",
+    "header", "footer", "nav", "section", "article", "aside", "main",
+    "br", "hr", "strong", "em", "b", "i", "u", "code", "pre",
+    "canvas", "svg", "video", "audio", "iframe",
+    "dl", "dt", "dd", "blockquote", "cite", "abbr", "address",
+}
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 
 

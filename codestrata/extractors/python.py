@@ -93,9 +93,42 @@ class _Walk(ast.NodeVisitor):
         self.generic_visit(node)
 
 
+#: Lines that may be wrong in a file of which the rest is read.
+WRONG = 100
+
+
+def parsed(text: str) -> ast.Module:
+    """The tree of a file, without the lines that can't be parsed. A wrong line that begins a block leaves the block, any
+    other one nothing; a line that is still wrong then goes altogether. With more than WRONG of them the first error is
+    raised."""
+    lines, first, tried = text.split("\n"), None, {}
+    while True:
+        try:
+            return ast.parse("\n".join(lines))
+        except SyntaxError as e:
+            first = first or e
+            at = min(max(1, e.lineno or 1), len(lines)) - 1
+            if len(tried) >= WRONG or tried.get(at, 0) > 1 or not isinstance(e.lineno, int):
+                raise first from None
+            indent = len(lines[at]) - len(lines[at].lstrip())
+            below = next((x for x in lines[at + 1 :] if x.strip()), "")
+            block = len(below) - len(below.lstrip()) > indent
+            lines[at] = "" if at in tried or isinstance(e, IndentationError) else " " * indent + ("if 1:" if block else "pass")
+            tried[at] = tried.get(at, 0) + 1
+
+
 def extract(text: str, language: str = "python", **_) -> Source:
     """Module-level names are constants (capitals with an underscore) or variables; class-level ones are properties.
-    A definition's range begins at its def or class line; a file that doesn't parse raises SyntaxError."""
+    A definition's range begins at its def or class line. Lines that can't be parsed are passed over; a file in which
+    nothing is left then raises the SyntaxError."""
     s = Source(text, language)
-    _Walk(s).visit(ast.parse(text))
+    try:
+        tree = ast.parse(text)
+    except SyntaxError as e:
+        tree = parsed(text)
+        _Walk(s).visit(tree)
+        if not s.symbols and not s.references:
+            raise e
+        return s
+    _Walk(s).visit(tree)
     return s

@@ -19,7 +19,7 @@ def reach(edges: DataFrame, roots: DataFrame, depth: int, store) -> DataFrame:
     edges: src, dst; roots: root. One join a step with the frontier alone; store(df, name) writes what a step has
     found and reads it back, so that lineage stays short and an executor's loss costs one step.
     """
-    pairs = edges.select("src", "dst").distinct()
+    pairs = store(edges.select("src", "dst").distinct(), "pairs")  # once, not at every step
     seen = front = roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth")).distinct()
     for step in range(1, depth + 1):
         met = front.select("root", F.col("node").alias("src")).join(pairs, "src").select("root", F.col("dst").alias("node")).distinct()

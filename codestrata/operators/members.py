@@ -22,11 +22,14 @@ def object_properties(symbols: DataFrame, files: DataFrame, name: str, language:
     members = symbols.where(F.col("kind").isin(MEMBER_KINDS))
     if language is not None:
         members = members.where(F.col("language") == language)
-    met = members.join(F.broadcast(owner))  # the owner is one row
-    below = F.expr("startswith(qualified_name, concat(owner, '.')) or startswith(qualified_name, concat(owner, '::'))")
-    receiver = (F.col("owner_language") == "go") & (F.col("language") == "go") & (F.col("kind") == "method")
+    one = owner.first()  # at most one row; its names become filters that reach the scan
+    if one is None:
+        one_name, receiver = None, F.lit(False)
+    else:
+        one_name, receiver = one["owner"], F.lit(one["owner_language"] == "go") & (F.col("language") == "go") & (F.col("kind") == "method")
+    below = F.lit(False) if one_name is None else F.startswith("qualified_name", F.lit(f"{one_name}.")) | F.startswith("qualified_name", F.lit(f"{one_name}::"))
     written = F.contains("qualified_name", F.lit(f"{name}.")) | F.contains("qualified_name", F.lit(f"(*{name}).")) | F.contains("qualified_name", F.lit(f".{name}."))
-    found = met.where(below | receiver & written).join(files.select("file_id", "path"), "file_id")
+    found = members.where(below | receiver & written).join(files.select("file_id", "path"), "file_id")
     return found.select("symbol_id", "name", "kind", "qualified_name", F.struct("path", "start_line", "start_col", "end_line", "end_col").alias("location"))
 
 

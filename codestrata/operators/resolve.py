@@ -11,14 +11,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Lines of a bin: most functions reach into one or two.
+BIN = 64
+
+
 def innermost(sites: DataFrame, ranges: DataFrame, key: str, site: str, line: str, order: str) -> DataFrame:
     """Each site's smallest range of the same key that holds its line; the first in `order` among equals.
 
-    ranges: key, start_line, end_line, `order` and further columns, which come back as a struct `inner_range`. The
-    key is a real equi-join key and the choice a partial aggregation, so no site's candidates are sorted.
+    ranges: key, start_line, end_line, `order` and further columns, which come back as a struct `inner_range`. A range is
+    dealt to each BIN of lines that it reaches into, and a site meets those of its own bin alone, by an equi-join on key
+    and bin; the choice is a partial aggregation, so no site's candidates are sorted. Null lines hold nothing.
     """
-    r = ranges.select(key, F.struct(*[c for c in ranges.columns if c != key]).alias("inner_range"))
-    met = sites.join(r, key).where(F.col(line).between(F.col("inner_range.start_line"), F.col("inner_range.end_line")))
+    r = ranges.select(key, F.struct(*[c for c in ranges.columns if c != key]).alias("inner_range")).where("inner_range.start_line <= inner_range.end_line")
+    bins = lambda c: F.floor(F.col(c) / BIN).cast("bigint")
+    r = r.withColumn("__bin", F.explode(F.sequence(bins("inner_range.start_line"), bins("inner_range.end_line"))))
+    met = sites.withColumn("__bin", bins(line)).join(r, [key, "__bin"]).where(F.col(line).between(F.col("inner_range.start_line"), F.col("inner_range.end_line")))
     rank = F.struct(F.col("inner_range.end_line") - F.col("inner_range.start_line"), F.col(f"inner_range.{order}"))
     return met.groupBy(key, site).agg(F.min_by("inner_range", rank).alias("inner_range"))
 

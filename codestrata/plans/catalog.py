@@ -6,6 +6,7 @@ order lines are call sites, events are file events, embeddings are symbol embedd
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -13,9 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .. import schema
 from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import graph, lookup, members, resolve, search, store, worklists
+from ..operators.ids import numbered
 from ..sources import files as source
 from ..streaming import events as stream
 
@@ -44,7 +47,17 @@ def scratch(spark: SparkSession, name: str) -> str:
         if not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         root = f"file://{tempfile.gettempdir()}"
-    return f"{root.rstrip('/')}/strata-steps/{name}-{uuid.uuid4().hex}"
+    at = f"{root.rstrip('/')}/strata-steps/{name}-{uuid.uuid4().hex}"
+    atexit.register(_delete, spark, at)
+    return at
+
+
+def _delete(spark: SparkSession, at: str) -> None:
+    try:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # the session has ended: the folder's own retention applies
+        pass
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
@@ -107,6 +120,19 @@ def vector_norm(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.round(n * n, 6).alias("squared_norm"), F.round(F.aggregate(unit, F.lit(0.0), lambda s, x: s + x), 6).alias("unit_sum"))
 
 
+@query(
+    r"""SELECT p_partkey, format('{:.1f}', CAST(p_size AS DOUBLE) / 50 * 100) AS share, CASE p_size % 3 WHEN 0 THEN 'type definition' WHEN 1 THEN 'method' ELSE p_brand END AS kind,
+    CAST(CASE p_size % 4 WHEN 0 THEN 384 WHEN 1 THEN 3072 ELSE 1536 END AS INTEGER) AS dimension, CASE WHEN p_size % 2 = 0 THEN 'lib/' || p_brand || '.go' ELSE '/other/' || p_brand || '.go' END AS path,
+    'Describe in one or two sentences what this method does.' || chr(10) || 'Name: ' || p_name || chr(10) || 'Code:' || chr(10) || p_type AS prompt FROM part"""
+)
+def scalar_formats(spark, d):
+    part, n = table(spark, d, "part"), F.col("p_size")
+    kind = F.when(n % 3 == 0, "type").when(n % 3 == 1, "method").otherwise(F.col("p_brand"))
+    model = F.when(n % 4 == 0, "bge-small-en-v1.5").when(n % 4 == 1, "text-embedding-3-large").otherwise("unknown")
+    file = F.concat(F.when(n % 2 == 0, "file:///src/lib/").otherwise("/other/"), "p_brand", F.lit(".go"))
+    return part.select("p_partkey", T.percent(n.cast("double") / 50).alias("share"), T.kind_text(kind).alias("kind"), T.dimension(model).alias("dimension"), T.relative(file, "/src").alias("path"), T.prompt(F.lit("method"), F.col("p_name"), F.col("p_type")).alias("prompt"))
+
+
 # Lookups
 
 
@@ -128,6 +154,32 @@ def find_symbol(spark, d):
     return best.join(brands, "file_id").select("symbol_id", "path", "kind")
 
 
+@query(
+    """SELECT 'by_id' AS lookup, p_partkey AS id FROM part WHERE p_partkey = 7 UNION ALL SELECT 'by_path', c_custkey FROM customer WHERE c_name = (SELECT min(c_name) FROM customer)
+    UNION ALL SELECT 'in_file', o_orderkey FROM orders WHERE o_custkey = 7 UNION ALL SELECT 'calls_from', l_linenumber FROM lineitem WHERE l_suppkey = 3 UNION ALL SELECT 'calls_to', l_linenumber FROM lineitem WHERE l_partkey = 7
+    UNION ALL SELECT 'has_embedding', CAST(count(*) > 0 AS INTEGER) FROM embeddings WHERE vec_id = 5 UNION ALL SELECT 'has_embedding', 0 UNION ALL SELECT 'embedding', len(embedding) FROM embeddings WHERE vec_id = 5"""
+)
+def point_lookups(spark, d):
+    first = table(spark, d, "customer").agg(F.min("c_name")).first()[0]
+    calls = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("caller_symbol_id"), F.col("l_partkey").alias("callee_symbol_id"), "l_linenumber")
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("symbol_id"), F.lit("m").alias("model"), "embedding")
+    has = spark.createDataFrame([(int(lookup.has_embedding(vectors, 5, m)),) for m in ("m", "other")], "id bigint")
+    found = {
+        "by_id": lookup.by_id(table(spark, d, "part"), "p_partkey", 7).select(F.col("p_partkey").alias("id")),
+        "by_path": lookup.file_by_path(table(spark, d, "customer").withColumnRenamed("c_name", "path"), first).select("c_custkey"),
+        "in_file": lookup.in_file(table(spark, d, "orders").withColumnRenamed("o_custkey", "file_id"), 7).select("o_orderkey"),
+        "calls_from": lookup.calls_from(calls, 3).select("l_linenumber"),
+        "calls_to": lookup.calls_to(calls, 7).select("l_linenumber"),
+        "has_embedding": has,
+        "embedding": lookup.embedding(vectors, 5, "m").select(F.size("embedding")),
+    }
+    out = None
+    for name, df in found.items():
+        one = df.select(F.lit(name).alias("lookup"), F.col(df.columns[0]).cast("bigint").alias("id"))
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
 @query("SELECT c_custkey, c_name, n_name AS path FROM customer JOIN nation ON c_nationkey = n_nationkey")
 def definition(spark, d):
     sym = table(spark, d, "customer").select(F.col("c_custkey").alias("symbol_id"), F.col("c_nationkey").alias("file_id"), F.col("c_name").alias("name"), F.col("c_name").alias("qualified_name"), *[F.lit(0).alias(c) for c in ("start_line", "start_col", "end_line", "end_col")])
@@ -156,16 +208,33 @@ def object_members(spark, d):
     return found.join(part.select(F.col("p_partkey").alias("symbol_id"), "p_type"), "symbol_id").select(F.col("symbol_id").alias("p_partkey"), F.col("name").alias("p_name"), "p_type")
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE starts_with(p_name, 'red ') OR contains(p_name, 'blue')")
+def _members_of(spark, d, name: str, language: str) -> DataFrame:
+    """Parts as symbols, the words of their names as segments, and one owner; every other part is a method."""
+    zero = [F.lit(0).alias(c) for c in ("start_line", "start_col", "end_line", "end_col")]
+    part = table(spark, d, "part")
+    sym = part.select(F.col("p_partkey").alias("symbol_id"), F.lit(1).alias("file_id"), F.col("p_name").alias("name"), F.when(F.col("p_partkey") % 2 == 0, "method").otherwise("field").alias("kind"), F.lit(language).alias("language"), F.replace("p_name", F.lit(" "), F.lit(".")).alias("qualified_name"), *zero)
+    owner = spark.range(1).select(F.lit(-1).cast("bigint").alias("symbol_id"), F.lit(1).alias("file_id"), F.lit(name).alias("name"), F.lit("struct").alias("kind"), F.lit(language).alias("language"), F.lit(name).alias("qualified_name"), *zero)
+    return members.object_properties(sym.unionByName(owner), spark.range(1, 2).select(F.col("id").cast("int").alias("file_id"), F.lit("a.go").alias("path")), name)
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE starts_with(p_name, 'red ') OR p_partkey % 2 = 0 AND contains(p_name, 'red ')")
 def union_dedup(spark, d):
-    part = table(spark, d, "part").select("p_partkey", "p_name")
-    return part.where(F.startswith("p_name", F.lit("red "))).unionByName(part.where(F.contains("p_name", F.lit("blue")))).dropDuplicates(["p_partkey"])
+    """Members by prefix and, in Go, methods by their receiver anywhere in the name; each once."""
+    return _members_of(spark, d, "red", "go").select(F.col("symbol_id").alias("p_partkey"), F.col("name").alias("p_name"))
+
+
+@query("SELECT p_partkey, CAST(len(p_name) - len(replace(p_name, ' ', '')) AS BIGINT) AS depth, replace(substr(p_name, 5), ' ', '.') AS tail FROM part WHERE starts_with(p_name, 'red ')")
+def displayed_members(spark, d):
+    found = members.displayed(_members_of(spark, d, "red", "ts"))
+    return found.select(F.col("symbol_id").alias("p_partkey"), F.col("depth").cast("bigint").alias("depth"), "tail")
 
 
 @query("SELECT p_name, row_number() OVER (ORDER BY lower(p_name), p_name) AS place FROM (SELECT DISTINCT p_name FROM part)")
 def collated_order(spark, d):
-    names = table(spark, d, "part").select("p_name").distinct()  # a vocabulary: few values however many parts
-    return names.select("p_name", F.row_number().over(Window.orderBy(F.collate("p_name", "UNICODE"))).cast("bigint").alias("place"))
+    """Places in the order of a Unicode collation: ranges of it are sorted and numbered, no task sees all."""
+    names = table(spark, d, "part").select("p_name").distinct().withColumn("k", F.collate("p_name", "UNICODE"))
+    got = numbered(names, "k", scratch(spark, "collated"))
+    return got.select("p_name", F.col("__seq").alias("place"))
 
 
 @query("SELECT 'orders' AS name, count(*) AS rows FROM orders UNION ALL SELECT 'customer', count(*) FROM customer UNION ALL SELECT 'part', count(*) FROM part UNION ALL SELECT 'lineitem', count(*) FROM lineitem")
@@ -192,7 +261,17 @@ def _page_files(spark, d) -> DataFrame:
     return table(spark, d, "pages").select(F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.lit("html").alias("language"), F.col("html").alias("content"), F.col("page_id").alias("file_id"))
 
 
-@query()
+#: Of the tags in these pages styles, scripts and classes are symbols, and none holds another of its kind.
+_ELEMENTS = r"""WITH e AS (SELECT page_id, html, unnest(regexp_extract_all(html, '(?s)<style[^>]*>.*?</style>|<script[^>]*>.*?</script>|<div [^>]*class="[^"]*"[^>]*>.*?</div>')) AS el FROM pages),
+p AS (SELECT page_id, html, instr(html, el) AS place, left(html, instr(html, el) - 1) AS before, left(html, instr(html, el) - 1 + len(el)) AS through, regexp_extract(el, '^<([a-z]+)', 1) AS tag, string_split_regex(trim(regexp_extract(el, '^<div[^>]* class="([^"]*)"', 1)), '\\s+') AS classes FROM e),
+n AS (SELECT *, unnest(CASE WHEN tag = 'div' THEN list_transform(classes, lambda c: '.' || c) ELSE ['<' || tag || '>'] END) AS name FROM p),
+l AS (SELECT *, string_split(before, chr(10)) AS b, string_split(through, chr(10)) AS t, string_split(html, chr(10)) AS h FROM n)
+SELECT page_id || '.html' AS path, CAST(row_number() OVER (PARTITION BY page_id ORDER BY place, name) - 1 AS INTEGER) AS ordinal, CASE WHEN tag = 'div' THEN 'variable' ELSE 'module' END AS kind, name, name AS qualified_name,
+CAST(len(b) AS INTEGER) AS start_line, CAST(len(b[-1]) AS INTEGER) AS start_col, CAST(len(t) AS INTEGER) AS end_line, CAST(len(t[-1]) AS INTEGER) AS end_col,
+substr(regexp_replace(array_to_string(list_slice(h, len(b), least(len(t), len(b) + 2)), chr(10)), '^\\s+|\\s+$', '', 'g'), 1, 200) AS signature, true AS exported FROM l"""
+
+
+@query(_ELEMENTS)
 def html_symbols(spark, d):
     """All symbols of all pages with their places: extraction over whole texts."""
     found = source.extract(_page_files(spark, d)).where("item = 'symbol'")
@@ -209,13 +288,13 @@ def html_style_modules(spark, d):
 
 
 @query(
-    """WITH r AS (SELECT event_id AS id, user_id, event_id AS a, event_id + (event_id % 7) * 150 AS b FROM events WHERE event_id % 3 = 0),
+    """WITH r AS (SELECT event_id AS id, user_id, event_id AS a, event_id + (event_id % 7) * 150 AS b FROM events),
     m AS (SELECT e.event_id, r.id, row_number() OVER (PARTITION BY e.event_id ORDER BY r.b - r.a, r.id) AS k FROM events e JOIN r ON e.user_id = r.user_id AND e.event_id BETWEEN r.a AND r.b)
     SELECT event_id, id AS range_id FROM m WHERE k = 1"""
 )
 def containing_symbol(spark, d):
     e = table(spark, d, "events").select("event_id", "user_id")
-    ranges = e.where("event_id % 3 = 0").select("user_id", F.col("event_id").alias("start_line"), (F.col("event_id") + F.col("event_id") % 7 * 150).alias("end_line"), F.col("event_id").alias("ordinal"))
+    ranges = e.select("user_id", F.col("event_id").alias("start_line"), (F.col("event_id") + F.col("event_id") % 7 * 150).alias("end_line"), F.col("event_id").alias("ordinal"))
     sites = e.select("user_id", F.col("event_id").alias("site"), F.col("event_id").alias("line"))
     got = resolve.innermost(sites, ranges, "user_id", "site", "line", "ordinal")
     return got.select(F.col("site").alias("event_id"), F.col("inner_range.ordinal").alias("range_id"))
@@ -233,6 +312,17 @@ def callee_resolution(spark, d):
     return got.select("l_orderkey", "l_linenumber", "target_id")
 
 
+@query(
+    """WITH t AS (SELECT p_type, min(p_partkey) AS target_id FROM part GROUP BY p_type)
+    SELECT p_partkey AS site, target_id FROM part JOIN t USING (p_type) WHERE target_id % 20 <= p_size % 20"""
+)
+def reference_resolution(spark, d):
+    part = table(spark, d, "part")
+    symbols = part.select(F.col("p_type").alias("name"), F.col("p_partkey").alias("symbol_id"), (F.col("p_partkey") % 20).alias("file_seq"))
+    sites = part.select(F.col("p_partkey").alias("site"), F.col("p_type").alias("name"), (F.col("p_size") % 20).alias("file_seq"))
+    return resolve.by_name(sites, symbols).select("site", "target_id")
+
+
 @query("SELECT CAST(p_size AS BIGINT) AS file_id, p_name AS qualified_name, max(p_partkey) AS symbol_id FROM part GROUP BY ALL")
 def last_definition(spark, d):
     rows = table(spark, d, "part").select(F.col("p_size").cast("bigint").alias("file_id"), F.col("p_name").alias("qualified_name"), F.col("p_partkey").alias("symbol_id"))
@@ -247,12 +337,7 @@ def _calls(spark, d) -> DataFrame:
     return table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("call_id"), F.col("l_suppkey").alias("caller_symbol_id"), F.col("l_partkey").alias("callee_symbol_id"))
 
 
-def _calls_of_sql(spark, d) -> DataFrame:
-    """The part of them, with folded callees, that _REACH is written for."""
-    return _calls(spark, d).where("call_id div 10 % 200 = 0").withColumn("callee_symbol_id", F.col("callee_symbol_id") % 100)
-
-
-_REACH = """WITH RECURSIVE e AS (SELECT DISTINCT {src} AS src, {dst} AS dst FROM (SELECT l_suppkey AS a, l_partkey % 100 AS b FROM lineitem WHERE l_orderkey % 200 = 0)),
+_REACH = """WITH RECURSIVE e AS (SELECT DISTINCT {src} AS src, {dst} AS dst FROM (SELECT l_suppkey AS a, l_partkey AS b FROM lineitem)),
 r(root, node, depth) AS (SELECT x, x, 0 FROM (VALUES (CAST(1 AS BIGINT)), (2), (3)) v(x) UNION SELECT root, dst, depth + 1 FROM r JOIN e ON node = src WHERE depth < 3)
 SELECT root, node AS node_id, min(depth) AS depth FROM r GROUP BY ALL"""
 
@@ -265,12 +350,12 @@ def _chain(spark, calls: DataFrame, direction: str, mode: str) -> DataFrame:
 
 @query(_REACH.format(src="a", dst="b"))
 def call_reach(spark, d):
-    return _chain(spark, _calls_of_sql(spark, d), "forward", "bfs").select("root", "node_id", "depth")
+    return _chain(spark, _calls(spark, d), "forward", "bfs").select("root", "node_id", "depth")
 
 
 @query(_REACH.format(src="b", dst="a"))
 def call_reach_backward(spark, d):
-    return _chain(spark, _calls_of_sql(spark, d), "backward", "bfs").select("root", "node_id", "depth")
+    return _chain(spark, _calls(spark, d), "backward", "bfs").select("root", "node_id", "depth")
 
 
 @query()
@@ -303,13 +388,25 @@ def filtered_search(spark, d):
     return found.select(F.col("symbol_id").alias("vec_id"), F.col("kind").cast("int").alias("label"), F.round("similarity", 6).alias("similarity"))
 
 
-@query(f"SELECT query_id, vec_id, rank FROM (SELECT q.vec_id AS query_id, e.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DOT} DESC, e.vec_id) AS rank FROM embeddings e, (SELECT vec_id, embedding FROM embeddings WHERE vec_id < 5) q) WHERE rank <= 5")
+@query(f"SELECT query_id, vec_id, rank FROM (SELECT q.vec_id AS query_id, e.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(({_DOT} + 1) / 2, 9) DESC, e.vec_id) AS rank FROM embeddings e, (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 20 = 0) q) WHERE rank <= 5")
 def batch_search(spark, d):
+    """The stated queries, every vec_id divisible by 20, against all rows."""
     e = table(spark, d, "embeddings")
-    queries = [(r.vec_id, list(r.embedding)) for r in e.where("vec_id < 5").collect()]
+    queries = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     return search.batch_top_k(e, "vec_id", "embedding", queries, 5).select("query_id", "vec_id", F.col("rank").cast("bigint").alias("rank"))
 
 
+@query(f"SELECT e.vec_id AS symbol_id, 'f' || (e.vec_id % 7) || '.ts' AS path, round(({_DOT} + 1) / 2, 6) AS similarity FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE ({_DOT} + 1) / 2 >= 0.55 ORDER BY ({_DOT} + 1) / 2 DESC, e.vec_id LIMIT 10")
+def search_locations(spark, d):
+    """The best symbols and then, for these alone, their places."""
+    e = table(spark, d, "embeddings")
+    vectors = e.select(F.col("vec_id").alias("symbol_id"), F.lit("m").alias("model"), "embedding")
+    symbols = e.select(F.col("vec_id").alias("symbol_id"), (F.col("vec_id") % 7).alias("file_id"), *[F.lit("").alias(c) for c in ("name", "qualified_name", "kind", "language", "chunk_summary")], F.lit(0).alias("start_line"), F.lit(0).alias("end_line"))
+    files = spark.range(7).select(F.col("id").alias("file_id"), F.concat(F.lit("f"), F.col("id").cast("string"), F.lit(".ts")).alias("path"))
+    found = search.semantic_search(vectors, symbols, files, _query_vector(spark, d), "m", 10, min_similarity=0.55)
+    return found.select("symbol_id", "path", F.round("similarity", 6).alias("similarity"))
+
+
 # Worklists and changes
 
 
@@ -344,22 +441,52 @@ def upsert_latest(spark, d):
     return store.keep_latest(e, ["user_id", "event_type"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_type", "event_id")
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_custkey % 5 = 0)")
-def cascade_delete(spark, d):
-    orders = table(spark, d, "orders")
+def _index_tables(spark, d) -> dict[str, DataFrame]:
+    """Customers as files, orders as symbols, order lines as calls and as references, embeddings of orders."""
+    null = lambda t: F.lit(None).cast(t)
+    fill = lambda df, kind: store.migrate(df, kind)
     line = table(spark, d, "lineitem")
-    gone = table(spark, d, "customer").where("c_custkey % 5 = 0").select(F.col("c_custkey").alias("file_id"))
-    symbols = orders.select(F.col("o_orderkey").alias("symbol_id"), F.col("o_custkey").alias("file_id"))
-    lost = symbols.join(gone, "file_id", "left_semi").select(F.col("symbol_id").alias("l_orderkey"))
-    return line.join(lost, "l_orderkey", "left_anti").select("l_orderkey", "l_linenumber", "l_partkey")
+    orders = table(spark, d, "orders")
+    return {
+        "files": fill(table(spark, d, "customer").select(F.col("c_custkey").alias("file_id"), F.col("c_name").alias("path")), schema.FILES),
+        "symbols": fill(orders.select(F.col("o_orderkey").alias("symbol_id"), F.col("o_custkey").alias("file_id"), F.col("o_orderstatus").alias("name")), schema.SYMBOLS),
+        "calls": fill(line.select(F.col("l_partkey").alias("call_id"), F.col("l_orderkey").alias("caller_symbol_id"), F.col("l_orderkey").alias("callee_symbol_id"), F.col("l_linenumber").cast("int").alias("site_start_line")), schema.CALLS),
+        "symbol_references": fill(line.select(F.col("l_orderkey").alias("ref_id"), F.col("l_suppkey").alias("from_file_id"), F.col("l_orderkey").alias("to_symbol_id"), F.col("l_returnflag").alias("ref_kind")), schema.REFERENCES),
+        "symbol_embeddings": fill(orders.select(F.col("o_orderkey").alias("symbol_id"), F.lit("m").alias("model"), null("array<float>").alias("embedding")), schema.EMBEDDINGS),
+    }
+
+
+_GONE = "SELECT o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_custkey % 5 = 0"
+
+
+@query(f"SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey NOT IN ({_GONE})")
+def cascade_delete(spark, d):
+    tables = _index_tables(spark, d)
+    left = store.delete_by_file(tables, tables["files"].where("file_id % 5 = 0"))["calls"]
+    return left.select(F.col("caller_symbol_id").alias("l_orderkey"), F.col("site_start_line").cast("bigint").alias("l_linenumber"), F.col("call_id").alias("l_partkey"))
+
+
+@query(f"SELECT 'files' AS name, (SELECT count(*) FROM customer WHERE c_custkey % 5 <> 0) AS rows UNION ALL SELECT 'symbols', (SELECT count(*) FROM orders WHERE o_custkey % 5 <> 0) UNION ALL SELECT 'calls', (SELECT count(*) FROM lineitem WHERE l_orderkey NOT IN ({_GONE})) UNION ALL SELECT 'symbol_references', (SELECT count(*) FROM lineitem WHERE l_orderkey NOT IN ({_GONE}) AND l_suppkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 5 = 0)) UNION ALL SELECT 'symbol_embeddings', (SELECT count(*) FROM orders WHERE o_custkey % 5 <> 0)")
+def delete_by_file(spark, d):
+    tables = _index_tables(spark, d)
+    return lookup.stats(store.delete_by_file(tables, tables["files"].where("file_id % 5 = 0")))
 
 
 @query("SELECT o_custkey, coalesce(n.status, o.status) AS status FROM (SELECT o_custkey, min(o_orderstatus) AS status FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1) o FULL JOIN (SELECT o_custkey, max(o_orderpriority) AS status FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1) n USING (o_custkey)")
 def insert_or_update(spark, d):
+    """Customers as files by path: some are known, some new, some both."""
     o = table(spark, d, "orders")
-    old = o.where("o_orderkey % 2 = 0").groupBy("o_custkey").agg(F.min("o_orderstatus").alias("old"))
-    new = o.where("o_orderkey % 3 = 0").groupBy("o_custkey").agg(F.max("o_orderpriority").alias("new"))
-    return old.join(new, "o_custkey", "full").select("o_custkey", F.coalesce("new", "old").alias("status"))
+    row = lambda df, value: df.groupBy("o_custkey").agg(value.alias("content_hash")).select(F.col("o_custkey").cast("string").alias("path"), F.lit("ts").alias("language"), "content_hash", F.lit(0.0).alias("mtime"), F.lit(0).cast("bigint").alias("size"))
+    old = row(o.where("o_orderkey % 2 = 0"), F.min("o_orderstatus")).withColumns({"file_id": F.col("path").cast("bigint"), "indexed_at": F.lit(0).cast("bigint")})
+    got = store.upsert_files(old, row(o.where("o_orderkey % 3 = 0"), F.max("o_orderpriority")), 1, scratch(spark, "upsert"))
+    return got.select(F.col("path").cast("bigint").alias("o_custkey"), F.col("content_hash").alias("status"))
+
+
+@query("SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN d.source ELSE 'toxic ' || l.toxic END AS chunk_summary, CAST(coalesce(l.quality, -1) AS INTEGER) AS summary_tokens, CAST(CASE WHEN l.doc_id IS NULL THEN 4 ELSE 9 END AS BIGINT) AS summarized_at FROM documents d LEFT JOIN labels l USING (doc_id)")
+def summary_update(spark, d):
+    symbols = table(spark, d, "documents").select(F.col("doc_id").alias("symbol_id"), F.lit(None).cast("string").alias("chunk_hash"), F.col("source").alias("chunk_summary"), F.lit(-1).alias("summary_tokens"), F.lit(4).cast("bigint").alias("summarized_at"))
+    new = table(spark, d, "labels").select(F.col("doc_id").alias("symbol_id"), F.lit("h").alias("chunk_hash"), F.concat(F.lit("toxic "), F.col("toxic").cast("string")).alias("summary"), F.col("quality").alias("tokens"))
+    return store.update_summaries(symbols, new, 9).select(F.col("symbol_id").alias("doc_id"), "chunk_summary", "summary_tokens", "summarized_at")
 
 
 @query("WITH t AS (SELECT page_id, regexp_replace(url, '^[a-z]+://', '') AS path, string_split(regexp_replace(url, '^[a-z]+://', ''), '/')[1] AS host FROM pages) SELECT page_id, path FROM t WHERE NOT (path = (SELECT min(host) FROM t) OR starts_with(path, (SELECT min(host) FROM t) || '/'))")
@@ -371,8 +498,6 @@ def directory_delete(spark, d):
 
 @query("SELECT event_id, dense_rank() OVER (ORDER BY event_id) AS seq, CAST(sum(user_id) OVER (ORDER BY event_id) - user_id AS BIGINT) AS base FROM events")
 def dense_numbers(spark, d):
-    from ..operators.ids import numbered
-
     got = numbered(table(spark, d, "events").select("event_id", "user_id"), "event_id", scratch(spark, "ids"), "user_id")
     return got.select("event_id", F.col("__seq").alias("seq"), F.col("__base").alias("base"))
 
@@ -391,8 +516,12 @@ def line_delta(spark, d):
     return stream.changed_enough(table(spark, d, "conversations"), "conv_id", "turn", F.length("text"), 50).select("conv_id", "turn")
 
 
-@query()
+@query(
+    """WITH RECURSIVE e AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS key, CAST(floor(epoch(ts)) AS BIGINT) AS sec, event_type AS path FROM events),
+    w(key, s) AS (SELECT key, min(sec) FROM e GROUP BY key UNION ALL SELECT w.key, min(e.sec) FROM w JOIN e ON e.key = w.key AND e.sec >= w.s + 86400 GROUP BY w.key)
+    SELECT w.key, w.s AS window_start, string_agg(DISTINCT path, ',' ORDER BY path) AS paths FROM w JOIN e ON e.key = w.key AND e.sec >= w.s AND e.sec < w.s + 86400 GROUP BY ALL"""
+)
 def batch_windows(spark, d):
-    """Windows opened by their first event: each depends on the one before, so SQL has no plain form."""
+    """Windows opened by their first event: each depends on the one before."""
     e = table(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").cast("bigint").alias("at"), "event_type")
-    return stream.batch_windows(e, "user_id", "at", "event_type", 86_400)
+    return stream.batch_windows(e, "user_id", "at", "event_type", 86_400).select("key", "window_start", F.array_join("paths", ",").alias("paths"))

@@ -49,19 +49,52 @@ def describe(files: DataFrame) -> DataFrame:
     return files.withColumns({"language": T.language(F.col("path")), "content_hash": T.content_hash(F.col("content"))})
 
 
-def scan(spark: SparkSession, root: str, include: list[str] = ("**/*",), exclude: list[str] = EXCLUDE, languages: list[str] | None = None) -> DataFrame:
-    """(path, language, content, content_hash, mtime, size) of the files below root whose language is known.
+def _path(root: str) -> Column:
+    return T.relative(F.col("path"), root if "://" not in root else "/" + root.split("://", 1)[1].lstrip("/"))
+
+
+def _chosen(files: DataFrame, include: list[str], exclude: list[str], languages: list[str] | None) -> DataFrame:
+    files = files.where(matches(F.col("path"), include, exclude)).withColumn("language", T.language(F.col("path"))).where("language is not null")
+    return files if languages is None else files.where(F.col("language").isin(list(languages)))
 
-    The extensions prune the listing before any content is read; globs and the language list filter by path.
-    """
+
+def _raw(spark: SparkSession, root: str, languages: list[str] | None) -> DataFrame:
+    """All files below root; the extensions prune the listing before any content is read."""
     wanted = [e for e, lang in T.EXTENSIONS.items() if languages is None or lang in languages]
     ends = ",".join(sorted({x for e in wanted for x in (e, e.upper())}))
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{{{ends}}}").load(root)
-    path = T.relative(F.col("path"), root if "://" not in root else "/" + root.split("://", 1)[1].lstrip("/"))
-    files = raw.select(path.alias("path"), F.decode("content", "UTF-8").alias("content"), (F.unix_micros("modificationTime") / 1000.0).alias("mtime"), F.col("length").alias("size"))
-    files = describe(files.where(matches(F.col("path"), include, exclude))).where("language is not null")
-    if languages is not None:
-        files = files.where(F.col("language").isin(list(languages)))
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{{{ends}}}").load(root)
+
+
+def _with_content(raw: DataFrame, root: str) -> DataFrame:
+    return raw.select(_path(root).alias("path"), F.decode("content", "UTF-8").alias("content"), (F.unix_micros("modificationTime") / 1000.0).alias("mtime"), F.col("length").alias("size"))
+
+
+def scan(spark: SparkSession, root: str, include: list[str] = ("**/*",), exclude: list[str] = EXCLUDE, languages: list[str] | None = None) -> DataFrame:
+    """(path, language, content, content_hash, mtime, size) of the files below root whose language is known; globs and
+    the language list filter by path."""
+    files = describe(_chosen(_with_content(_raw(spark, root, languages), root), include, exclude, languages))
+    return files.select("path", "language", "content", "content_hash", "mtime", "size")
+
+
+def listed(spark: SparkSession, root: str, include: list[str] = ("**/*",), exclude: list[str] = EXCLUDE, languages: list[str] | None = None) -> DataFrame:
+    """(path, mtime, size) of the same files; their contents aren't read."""
+    raw = _raw(spark, root, languages).select(_path(root).alias("path"), (F.unix_micros("modificationTime") / 1000.0).alias("mtime"), F.col("length").alias("size"))
+    return _chosen(raw, include, exclude, languages).select("path", "mtime", "size")
+
+
+def read(spark: SparkSession, root: str, paths: list[str], include: list[str] = ("**/*",), exclude: list[str] = EXCLUDE, languages: list[str] | None = None) -> DataFrame:
+    """scan() of these relative paths alone: no other file is listed or read. Paths that don't exist are left out."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    here = []
+    for p in sorted(set(paths)):
+        at = jvm.org.apache.hadoop.fs.Path(jvm.org.apache.hadoop.fs.Path(root), p)
+        fs = at.getFileSystem(conf)
+        if fs.exists(at) and fs.getFileStatus(at).isFile():
+            here.append(re.sub(r"([\\{}\[\]*?])", r"\\\1", str(fs.makeQualified(at).toString())))  # a glob of itself
+    if not here:
+        return spark.createDataFrame([], "path string, language string, content string, content_hash string, mtime double, size bigint")
+    raw = _with_content(spark.read.format("binaryFile").load(here), str(root))
+    files = describe(_chosen(raw, include, exclude, languages))
     return files.select("path", "language", "content", "content_hash", "mtime", "size")
 
 

@@ -6,6 +6,7 @@ event time and are what SQL can check; the streaming forms hold the same state p
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 import pandas as pd
@@ -52,6 +53,17 @@ def batch_windows(events: DataFrame, key: str, ts_seconds: str, path: str, lengt
 EVENT = "path string, event string, ts timestamp, mtime double, size bigint, lines int"
 
 
+def _plain(x) -> tuple:
+    """mtime, size and lines of an event; what is missing is None."""
+    pick = lambda v, kind: None if pd.isna(v) else kind(v)
+    return pick(x["mtime"], float), pick(x["size"], int), pick(x["lines"], int)
+
+
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=["path", "event", "ts", "mtime", "size", "lines"])
+    return out.astype({"ts": "datetime64[us]", "mtime": "Float64", "size": "Int64", "lines": "Int32"})
+
+
 def debounce_stream(events: DataFrame, delay_ms: int) -> DataFrame:
     """The last event of each path once no other has come for delay_ms of processing time."""
 
@@ -59,46 +71,108 @@ def debounce_stream(events: DataFrame, delay_ms: int) -> DataFrame:
         if state.hasTimedOut:
             held = state.get
             state.remove()
-            yield pd.DataFrame({"path": [key[0]], "event": [held[0]], "ts": [pd.Timestamp(held[1], unit="us")], "mtime": [held[2]], "size": [held[3]], "lines": [held[4]]})
+            yield _frame([(key[0], held[0], _time(held[1]), *held[2:])])
             return
         last = state.get if state.exists else None
-        for pdf in batches:
-            x = pdf.sort_values("ts").iloc[-1]
-            micros = int(x.ts.value // 1000)
-            if last is None or micros >= last[1]:
-                last = (x.event, micros, float(x.mtime), int(x["size"]), int(x.lines))
-        state.update(last)
-        state.setTimeoutDuration(delay_ms)
+        for x in _sorted(batches):
+            micros = _micros(x.ts)
+            if last is None or last[1] is None or micros is not None and micros >= last[1]:
+                last = (x.event, micros, *_plain(x))
+        if last is not None:
+            state.update(last)
+            state.setTimeoutDuration(delay_ms)
 
     return events.groupBy("path").applyInPandasWithState(step, EVENT, "event string, ts bigint, mtime double, size bigint, lines int", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def change_stream(events: DataFrame, least: int) -> DataFrame:
-    """Drops events with the mtime last seen and those whose line count moved by less than `least`."""
+def _sorted(batches) -> list:
+    """The events of one path in order of time, those without one first."""
+    whole = pd.concat(list(batches))
+    return [x for _, x in whole.sort_values("ts", na_position="first", kind="stable").iterrows()]
+
+
+def _micros(ts) -> int | None:
+    return None if pd.isna(ts) else int(ts.value // 1000)
+
+
+def _time(micros: int | None):
+    return pd.NaT if micros is None else pd.Timestamp(micros, unit="us")
+
+
+def admitted(seen: tuple | None, event: str, now: tuple, least: int) -> tuple[bool, tuple | None]:
+    """(whether an event passes, what is seen after it). seen and now: mtime, size, lines; None where unknown.
+
+    A deletion passes and forgets, so a file that comes back is new. An addition or change with the mtime last seen is
+    dropped, and so is a change whose line count moved by less than `least`; the baseline moves all the same. An unknown
+    mtime equals none, an unknown line count passes.
+    """
+    if event in ("unlink", "unlinkDir"):
+        return True, None
+    if seen is not None and now[0] is not None and seen[0] == now[0]:
+        return False, seen
+    known = seen is not None and seen[2] is not None and now[2] is not None
+    return not (known and event == "change" and abs(now[2] - seen[2]) < least), now
+
+
+def change_stream(events: DataFrame, least: int, delay_ms: int = 0) -> DataFrame:
+    """The admitted() events of a stream; with a delay only the last of each burst is considered, once delay_ms of
+    processing time have passed without another. Deletions go at once and take what waits with them."""
 
     def step(key, batches, state):
-        seen = state.get if state.exists else None
+        held, seen = None, None
+        if state.exists:
+            s = state.get
+            held, seen = (tuple(s[1:6]) if s[0] else None), (tuple(s[7:10]) if s[6] else None)
         out = []
-        for pdf in batches:
-            for x in pdf.sort_values("ts").itertuples():
-                first = seen is None
-                same = not first and seen[0] == x.mtime
-                if not same:
-                    if first or x.event != "change" or abs(int(x.lines) - seen[2]) >= least:
-                        out.append((x.path, x.event, x.ts, x.mtime, x.size, x.lines))
-                    seen = (float(x.mtime), int(x.size), int(x.lines))
-        if seen is not None:
-            state.update(seen)
-        yield pd.DataFrame(out, columns=["path", "event", "ts", "mtime", "size", "lines"])
 
-    return events.groupBy("path").applyInPandasWithState(step, EVENT, "mtime double, size bigint, lines int", "append", GroupStateTimeout.NoTimeout)
+        def decide(event, micros, now):
+            nonlocal seen
+            passes, seen = admitted(seen, event, now, least)
+            if passes:
+                out.append((key[0], event, _time(micros), *now))
+
+        if state.hasTimedOut:
+            if held is not None:
+                decide(held[0], held[1], held[2:])
+            held = None
+        else:
+            for x in _sorted(batches):
+                event, micros, now = x.event, _micros(x.ts), _plain(x)
+                if event in ("unlink", "unlinkDir") or not delay_ms:
+                    held = None
+                    decide(event, micros, now)
+                else:
+                    held = (event, micros, *now)
+        if held is None and seen is None:
+            if state.exists:
+                state.remove()
+        else:
+            state.update((held is not None, *(held or (None,) * 5), seen is not None, *(seen or (None,) * 3)))
+            if held is not None:
+                state.setTimeoutDuration(delay_ms)
+        yield _frame(out)
+
+    kind = "held boolean, event string, ts bigint, mtime double, size bigint, lines int, known boolean, seen_mtime double, seen_size bigint, seen_lines int"
+    timer = GroupStateTimeout.ProcessingTimeTimeout if delay_ms else GroupStateTimeout.NoTimeout
+    return events.groupBy("path").applyInPandasWithState(step, EVENT, kind, "append", timer)
+
+
+def _plain(x) -> tuple:
+    """mtime, size and lines of an event; what is missing is None."""
+    pick = lambda v, kind: None if pd.isna(v) else kind(v)
+    return pick(x["mtime"], float), pick(x["size"], int), pick(x["lines"], int)
+
+
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=["path", "event", "ts", "mtime", "size", "lines"])
+    return out.astype({"ts": "datetime64[us]", "mtime": "Float64", "size": "Int64", "lines": "Int32"})
 
 
 class Watcher:
     """Runs a stream of events into update(paths) and delete(paths, directories), one batch at a time.
 
-    A batch lasts batch_minutes, and debounce_ms at least. Its last event of a path decides, so bursts within a batch
-    are one change; debounce_stream() is for streams that need the exact timer.
+    Events are debounced by debounce_ms and filtered by change_stream(); a batch lasts batch_minutes, and its last event
+    of a path decides. A run with `once` takes what is there, without the timer.
     """
 
     def __init__(self, events: DataFrame, update: Callable[[list[str]], None], delete: Callable[[list[str], list[str]], None], checkpoint: str, batch_minutes: float = 10, least_lines: int = 5, debounce_ms: int = 500):
@@ -109,7 +183,7 @@ class Watcher:
     def drain(self, batch: DataFrame, _id: int) -> None:
         """The last event of each path decides; deletions go first, so a path that is gone isn't updated. A batch's
         paths, not its files, come to the driver, which starts the incremental run for them."""
-        by = Window.partitionBy("path").orderBy(F.desc("ts"))
+        by = Window.partitionBy("path").orderBy(F.desc_nulls_last("ts"), F.desc("event"))
         last = batch.withColumn("__r", F.row_number().over(by)).where("__r = 1").select("path", "event").collect()
         gone, folders = [r.path for r in last if r.event == "unlink"], [r.path for r in last if r.event == "unlinkDir"]
         if gone or folders:
@@ -121,16 +195,21 @@ class Watcher:
     def start(self, once: bool = False):
         if self.query is not None:
             raise RuntimeError("this watcher runs already")
-        flow = change_stream(self.events, self.least)
+        flow = change_stream(self.events, self.least, 0 if once else self.debounce)
         writer = flow.writeStream.foreachBatch(self.drain).option("checkpointLocation", self.checkpoint)
-        writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{max(int(self.minutes * 60_000), self.debounce, 1)} milliseconds")
+        writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{max(int(self.minutes * 60_000), 1)} milliseconds")
         self.query = writer.start()
         return self.query
 
-    def stop(self) -> None:
-        """Processes what has arrived, then stops."""
+    def stop(self, most_seconds: float = 60) -> None:
+        """Processes what has arrived, then stops. With a timer a query never runs out of batches, so there it waits for one
+        without data, most_seconds at most; what the timer still holds is in the checkpoint and goes on after a restart."""
         if self.query is not None:
             if self.query.isActive and not self.query.exception():
-                self.query.processAllAvailable()
+                if not self.debounce:
+                    self.query.processAllAvailable()
+                end = time.time() + most_seconds
+                while self.debounce and time.time() < end and self.query.isActive and (self.query.status["isDataAvailable"] or self.query.status["isTriggerActive"]):
+                    time.sleep(0.2)
             self.query.stop()
             self.query = None

@@ -143,3 +143,16 @@ def test_html():
 def test_broken_files_end(language, text):
     rows = items("f", text, language)
     assert all(r[1] in ("symbol", "call", "reference", "error") for r in rows)
+
+
+def test_standard_tags_are_no_symbols():
+    s, _, _ = found("<b>x</b><dl><dt>t</dt></dl><svg><path d='m'/></svg><cite>c</cite><label>l</label>", "html")
+    assert set(s) == {"path", "label"}
+
+
+def test_python_passes_over_wrong_lines():
+    text = "import os\n\ndef good():\n    return 1\n\ndef bad(:\n    x = 1\n    return x\n\nclass C:\n    y = = 2\n    def m(self):\n        return good()\n\nz = (1,\n\nend = 3\n"
+    s, calls, _ = found(text, "python")
+    assert {"good", "C", "C.m"} <= set(s) and s["C.m"]["start_line"] == 12
+    assert "good" in str(calls)
+    assert items("f.py", "def f(:\n", "python")[0][1] == "error"

@@ -164,3 +164,33 @@ def test_call_chain_walks_all_order_lines(spark, sf):
     want = [x for root in (1, 2, 3) for x in graph.depth_first({k: list(v) for k, v in adjacency.items()}, root, 3)]
     got = [tuple(r) for r in catalog.call_chain(spark, sf).collect()]
     assert sorted(got) == sorted(want) and max(r[1] for r in want) > 100
+
+
+def test_batch_search_equals_brute_force_over_cells(spark, monkeypatch):
+    from codestrata.operators import search
+
+    monkeypatch.setattr(search, "CELL", 4)
+    r = random.Random(5)
+    rows = [(i, [r.choice([-1.0, 0.0, 1.0]) for _ in range(3)]) for i in range(90)] + [(200 + i, [1.0, float(i)]) for i in range(6)] + [(300, None), (301, [])]
+    df = spark.createDataFrame(rows, "id bigint, v array<double>")
+    queries = [(i, v) for i, v in rows if i % 20 == 0 or i >= 200]
+    got = search.batch_top_k(df, "id", "v", spark.createDataFrame(queries, "query_id bigint, vector array<double>"), 4, 0.0, spread=3).collect()
+    want = set()
+    for q, v in queries:
+        if v:
+            s = sorted((-(sum(a * b for a, b in zip(v, x)) + 1) / 2, i) for i, x in rows if x is not None and len(x) == len(v))
+            want |= {(q, i, k + 1) for k, (x, i) in enumerate([y for y in s if y[0] <= 0][:4])}
+    assert {(x.query_id, x.id, x.rank) for x in got if x.query_id != 301} == want
+
+
+def test_innermost_range_over_many_bins(spark):
+    r = random.Random(6)
+    ranges = [(f, a, a + r.choice([0, 3, 70, 700, 5000]), k) for k, (f, a) in enumerate((r.randrange(3), r.randrange(4000)) for _ in range(300))]
+    sites = [(r.randrange(3), k, r.randrange(-5, 6000)) for k in range(400)]
+    got = {x.site: x.inner_range.ordinal for x in resolve.innermost(spark.createDataFrame(sites, "file_id int, site int, line int"), spark.createDataFrame(ranges, "file_id int, start_line int, end_line int, ordinal int"), "file_id", "site", "line", "ordinal").collect()}
+    want = {}
+    for f, k, line in sites:
+        held = [(b - a, o) for g, a, b, o in ranges if g == f and a <= line <= b]
+        if held:
+            want[k] = min(held)[1]
+    assert got == want

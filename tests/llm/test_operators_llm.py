@@ -127,7 +127,7 @@ def test_encoders_equal_the_library():
     texts = [t or "" for t in HARD] + fuzz(3000, 1)
     word, byte = (Tokenizer.from_file(P.path(n)) for n in (token_store.TOKENIZER, bpe.TOKENIZER))
     w, b = WordBpe(P.path(token_store.TOKENIZER)), ByteBpe(P.path(bpe.TOKENIZER))
-    w.most = b.most = 50  # so that both generations are used
+    w.most = b.most = 10_000  # so that both generations are used
     for t in texts:
         assert np.frombuffer(w.encode(t), "<u4").tolist() == word.encode(t, add_special_tokens=False).ids
         ids = byte.encode(t, add_special_tokens=False).ids
@@ -168,6 +168,53 @@ def test_token_store(spark, tmp_path):
     assert token_store.round_trip(docs.limit(0)).count() == 0
 
 
+def test_token_store_null_and_repeated_ids_and_a_very_long_text(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(P.path(token_store.TOKENIZER))
+    long = "word and more, " * 200_000
+    rows = [(None, "b"), (None, None), (-1, "x y"), (-5, "z"), (3, "same"), (3, "same"), (3, "other text"), (9, long)]
+    docs = spark.createDataFrame([(d, x, "s") for d, x in rows], "doc_id bigint, text string, shard string")
+    got = sorted(token_store.round_trip(docs).collect(), key=lambda r: r.start)
+    at = 0
+    for r, (d, x) in zip(got, sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))):
+        raw = np.array(t.encode(x or "", add_special_tokens=False).ids + [1], "<u4").tobytes()
+        assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (d, at, len(raw) // 4, zlib.crc32(raw))
+        at += r.n_tokens
+    assert len(got) == len(rows)
+
+
+def test_a_shard_is_in_the_seekable_format(tmp_path):
+    """As its specification says, read without this library's reader."""
+    import struct
+
+    import xxhash
+    import zstandard
+
+    path = tmp_path / "x.ids"
+    docs = {i: np.arange(i % 40, dtype="<u4").tobytes() for i in range(200)}
+    with path.open("wb") as f:
+        w = token_store.ShardWriter(f, frame_bytes=256)
+        w.add(None, b"\1\0\0\0")
+        for i, ids in docs.items():
+            w.add(i, ids)
+        w.close()
+    raw = path.read_bytes()
+    n, flags, magic = struct.unpack("<IBI", raw[-9:])
+    assert magic == 0x8F92EAB1 and flags == 0x80
+    table = raw[-9 - 12 * n : -9]
+    assert struct.unpack("<II", raw[-17 - 12 * n : -9 - 12 * n]) == (0x184D2A5E, 12 * n + 9)
+    at, content = 0, b""
+    for size, length, check in struct.iter_unpack("<III", table):
+        part = zstandard.ZstdDecompressor().decompress(raw[at : at + size]) if length else b""
+        assert len(part) == length and check == xxhash.xxh64_intdigest(part) & 0xFFFFFFFF
+        at, content = at + size, content + part
+    assert at == len(raw) - 17 - 12 * n and content == b"\1\0\0\0" + b"".join(docs.values())
+    assert zstandard.ZstdDecompressor().stream_reader(raw, read_across_frames=True).read() == content  # skippable frames are skipped
+    with path.open("rb") as f:
+        assert [x.tolist() for x in token_store.ShardReader(f).get(None)] == [[1]]
+
+
 def test_shard_reads_one_frame_and_finds_damage(tmp_path):
     path = tmp_path / "x.ids"
     with path.open("wb") as f:
@@ -177,7 +224,7 @@ def test_shard_reads_one_frame_and_finds_damage(tmp_path):
         w.close()
     with path.open("rb") as f:
         r = token_store.ShardReader(f)
-        assert len(r.frames) > 5 and r.get(0)[0].size == 0 and r.get(99) == []
+        assert len(r.frames) > 6 and r.get(0)[0].size == 0 and r.get(99) == []
         seen = []
         frame_of = r.frame
         r.frame = lambda k: seen.append(k) or frame_of(k)
@@ -190,61 +237,87 @@ def test_shard_reads_one_frame_and_finds_damage(tmp_path):
         list(token_store.ShardReader(f).documents())
 
 
-def words_of(t):
-    return [w for w in re.split(r"[\x20\x09-\x0D]+", (t or "").lower()) if w]
-
-
-def winnowed(t, k=winnow.K, w=winnow.W):
-    """Positions that the rule selects, from equality classes and an order of hashes given by the caller."""
-    words = words_of(t)
-    return [tuple(words[i : i + k]) for i in range(len(words) - k + 1)] if len(words) >= k else [tuple(words)] if words else []
+def units_of(t):
+    """Words; code points of unspaced scripts; of runs over RUN code points those with RUN others of the run on a side."""
+    out = []
+    low = t or ""
+    for word in re.split(r"[\x20\x09-\x0D]+", low):
+        for run in re.findall(r"[\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u9FFF\uF900-\uFAFF\U00020000-\U0003FFFF]|[^\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u9FFF\uF900-\uFAFF\U00020000-\U0003FFFF]+", word):
+            n, i = len(run), 0
+            while i < n:
+                one = n - i > winnow.RUN or i >= winnow.RUN
+                out.append(run[i] if one else run[i:])
+                i += 1 if one else n - i
+    return out
 
 
-def test_winnowing_rule_and_guarantee(spark):
+def fingerprint(lower, hash_of, k=winnow.K, w=winnow.W):
+    """[(position, hash)] by the definition: the hash is rolled from gram to gram."""
+    mask = (1 << 64) - 1
+    rot = lambda h, n: (h << n % 64 | h >> 64 - n % 64) & mask if n % 64 else h
+    u = [hash_of[x] & mask for x in units_of(lower)]
+    if not u:
+        return []
+    size = min(k, len(u))
+    h = 0
+    for x in u[:size]:
+        h = rot(h, 1) ^ x
+    grams = [h]
+    for i in range(len(u) - size):
+        h = rot(h, 1) ^ rot(u[i], size) ^ u[i + size]
+        grams.append(h)
+    width = min(w, len(grams))
+    picked = {max(range(a, a + width), key=lambda p: (-(grams[p] >> 33), p)) for a in range(len(grams) - width + 1)}
+    return [(p, grams[p]) for p in sorted(picked)]
+
+
+def check_fingerprints(spark, docs, order):
+    """compare() on the rows of docs, which follow each other as in `order`, against the definition."""
+    lower = {t: low for t, low in docs.select(F.coalesce("text", F.lit("")).alias("t"), F.lower(F.coalesce("text", F.lit(""))).alias("low")).distinct().collect()}
+    edited = {}
+    for i, (_, t) in enumerate(order):
+        own, after = t or "", order[(i + 1) % len(order)][1] or ""
+        edited[i] = own[: len(own) - len(own) // 2] + after[: len(own) // 2]
+    for t, low in spark.createDataFrame([(t,) for t in edited.values()], "t string").distinct().select("t", F.lower("t")).collect():
+        lower[t] = low
+    units = sorted({u for low in lower.values() for u in units_of(low)})
+    hash_of = {r.u: r.h for r in spark.createDataFrame([(u,) for u in units] or [("",)], "u string").select("u", F.xxhash64("u").alias("h")).collect()}
+    of = {t: fingerprint(low, hash_of) for t, low in lower.items()}
+    text = lambda f: " ".join(f"{p}:{h:X}" for p, h in f)
+
+    def like(x, y):
+        a, b = {h for _, h in x}, {h for _, h in y}
+        return len(a & b) / len(a | b) if a | b else 1.0
+
+    want = []
+    for i, (d, t) in enumerate(order):
+        own, e, after = of[t or ""], of[edited[i]], of[order[(i + 1) % len(order)][1] or ""]
+        want.append((d, len(t or ""), sha256(edited[i].encode()).hexdigest(), text(own), text(e), round(like(own, e), 9), round(like(own, after), 9)))
+    got = [(*r[:5], round(r.near_edited, 9), round(r.near_next, 9)) for r in winnow.compare(docs).collect()]
+    assert collections.Counter(got) == collections.Counter(want)
+    return of
+
+
+def test_winnowing_equals_its_definition(spark):
     r = random.Random(3)
     shared = prose(r, winnow.K + winnow.W - 1)
-    texts = HARD + [prose(r, 40, 5), f"{prose(r, 30)} {shared} {prose(r, 12)}", f"{prose(r, 9)} {shared} {prose(r, 33)}"]
-    rows = {x.doc_id: x for x in winnow.compare(frame(spark, texts)).collect()}
-    parse = lambda s: [(int(p), h) for p, h in (x.split(":") for x in s.split())]
-    order = {}
-    for i, t in enumerate(texts):  # a gram has one hash wherever it is selected
-        grams = winnowed(t)
-        for p, h in parse(rows[i].fingerprint):
-            assert order.setdefault(grams[p], h) == h
-        got = [p for p, _ in parse(rows[i].fingerprint)]
-        assert got == sorted(set(got)) and bool(got) == bool(grams)
-        for a in range(len(grams) - winnow.W + 1):
-            assert any(a <= p < a + winnow.W for p in got)
-    full = spark.createDataFrame([(texts[-3],)], "t string")
-    g = winnow.fingerprints(full.withColumn("x", F.col("t")), "t", "g", winnow.K, 1).first().g
-    hashes = [v >> 31 for v in g]
-    want = set()
-    for a in range(len(hashes) - winnow.W + 1):
-        least = min(hashes[a : a + winnow.W])
-        want.add(max(p for p in range(a, a + winnow.W) if hashes[p] == least))
-    assert {p for p, _ in parse(rows[len(texts) - 3].fingerprint)} == want
-    a, b = (set(h for _, h in parse(rows[len(texts) - k].fingerprint)) for k in (1, 2))
+    texts = HARD + [prose(r, 40, 5), f"{prose(r, 30)} {shared} {prose(r, 12)}", f"{prose(r, 9)} {shared} {prose(r, 33)}", "ab " * 30, "中文字符没有空格所以每个字都是一个单位" * 3, "x" * 24, "y" * 25, "z" * 47, "q" * 49 + " 中a" + "b" * 30, "word " * 60_000]
+    of = check_fingerprints(spark, frame(spark, texts), list(enumerate(texts)))
+    a, b = ({h for _, h in of[texts[len(HARD) + i]]} for i in (1, 2))
     assert a & b
-    n = len(texts)
-    for i in range(n):
-        own, after = texts[i] or "", texts[(i + 1) % n] or ""
-        edited = own[: len(own) - len(own) // 2] + after[: len(own) // 2]
-        assert rows[i].n_chars == len(own) and rows[i].edited_sha256 == sha256(edited.encode()).hexdigest()
-        assert 0 <= rows[i].near_edited <= 1 and 0 <= rows[i].near_next <= 1
+    for t in texts:  # every window has a selected gram
+        places, n = [p for p, _ in of[t or ""]], max(0, len(units_of((t or "").lower())) - winnow.K + 1)
+        assert all(any(x <= p < x + winnow.W for p in places) for x in range(0, min(n, 300) - winnow.W + 1))
 
 
-def test_winnowing_neighbours_across_buckets(spark, monkeypatch):
+def test_winnowing_of_repeated_and_null_ids_across_buckets(spark, monkeypatch):
     monkeypatch.setattr(winnow, "BUCKET", 3)
-    texts = {i * 7 % 101: f"t{i} " * 3 for i in range(40)}
-    rows = {x.doc_id: x for x in winnow.compare(frame(spark, texts).repartition(5)).collect()}
-    ids = sorted(texts)
-    assert sorted(rows) == ids
-    for k, i in enumerate(ids):
-        own, after = texts[i], texts[ids[(k + 1) % len(ids)]]
-        assert rows[i].edited_sha256 == sha256((own[: len(own) - len(own) // 2] + after[: len(own) // 2]).encode()).hexdigest()
-    assert winnow.compare(frame(spark, texts).limit(0)).count() == 0
-    nulls = spark.createDataFrame([(None, "a b"), (None, None)], "doc_id bigint, text string")
-    assert winnow.compare(nulls).count() == 2
+    monkeypatch.setattr(winnow, "GROUPS", 5)
+    rows = [(i * 7 % 101, f"t{i} " * 3 + "and some more words") for i in range(40)] + [(21, "a b"), (21, "a b"), (21, "zz"), (None, "n1 n2"), (None, None), (None, "n0")]
+    order = sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, x[1] or ""))
+    docs = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id bigint, text string, grams int").repartition(5)
+    check_fingerprints(spark, docs, order)
+    assert winnow.compare(docs.limit(0)).count() == 0
 
 
 def test_language(spark):
@@ -280,35 +353,71 @@ def test_quality_statistics_of_hard_texts():
         assert len(x) == quality.D and np.isfinite(x).all()
 
 
-def test_embedding_links_equal_brute_force(spark, monkeypatch):
-    g = np.random.default_rng(1)
-    base = g.normal(size=(60, 16))
-    v = np.vstack([base, base[:20] + 0.04 * g.normal(size=(20, 16)), base[0] + 0.05 * g.normal(size=(40, 16)), base[5:6], 2 * base[6:7]]).astype(np.float32)
-    rows = [(i, [float(a) for a in x], 1) for i, x in enumerate(v)] + [(900, None, 1), (901, [0.0] * 16, 1), (902, [float("nan")] * 16, 1), (903, [None] + [1.0] * 15, 1), (904, [1.0, 2.0], 1)]
-    monkeypatch.setattr(embed_dup, "BLOCK", 8)
-    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, component int")
-    got = {r.vec_id: r for r in embed_dup.near_duplicates(df).collect()}
-    x = v.astype(float)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    s = x @ x.T >= 0.95
-    root = list(range(len(x)))
+def linked_vectors(rows, least=0.95):
+    """(links of each row, component of each row) by brute force over all pairs of rows, in order."""
+    unit = []
+    for _, v in rows:
+        ok = v is not None and all(a is not None and np.isfinite(a) for a in v) and any(v)
+        x = np.array(v, float) if ok else None
+        unit.append(x / np.abs(x).max() / np.linalg.norm(x / np.abs(x).max()) if ok else None)
+    n, root = [0] * len(rows), list(range(len(rows)))
 
     def top(a):
         while root[a] != a:
             a = root[a]
         return a
 
-    for a, b in zip(*np.nonzero(s)):
-        p, q = top(a), top(b)
-        root[max(p, q)] = min(p, q)
-    n = s.sum(1) - 1
-    found = sum(got[i].n_links for i in range(len(x)))
-    assert found >= 0.98 * n.sum() and all(got[i].n_links <= n[i] for i in range(len(x)))
-    assert sum(got[i].component_id == top(i) for i in range(len(x))) >= len(x) - 1
-    assert all(got[i].n_links == 0 and got[i].kept for i in range(900, 905))
+    for i in range(len(rows)):
+        for j in range(i + 1, len(rows)):
+            if unit[i] is not None and unit[j] is not None and len(unit[i]) == len(unit[j]) and unit[i] @ unit[j] >= least and rows[i][0] is not None and rows[j][0] is not None:
+                n[i], n[j] = n[i] + 1, n[j] + 1
+                root[max(top(i), top(j))] = min(top(i), top(j))
+    name = {}
+    for i, (k, _) in enumerate(rows):
+        if k is not None:
+            name[top(i)] = min(name.get(top(i), k), k)
+    return n, [name.get(top(i)) for i in range(len(rows))]
+
+
+def embedding_rows(seed):
+    g = np.random.default_rng(seed)
+    base, other = g.normal(size=(60, 16)), g.normal(size=(9, 6))
+    v = np.vstack([base, base[:20] + 0.04 * g.normal(size=(20, 16)), base[0] + 0.05 * g.normal(size=(40, 16)), base[5:6], 2 * base[6:7]]).astype(np.float32)
+    rows = [(i, [float(a) for a in x]) for i, x in enumerate(v)]
+    rows += [(300 + i, [float(a) for a in x.astype(np.float32)]) for i, x in enumerate(np.vstack([other, other[:3], other[4:6] + 0.01]))]  # another dimension
+    rows += [(7, rows[0][1]), (7, rows[30][1]), (7, rows[7][1])]  # one id, other vectors and its own again
+    return rows + [(900, None), (901, [0.0] * 16), (902, [float("nan")] * 16), (903, [None] + [1.0] * 15), (904, [1.0, 2.0]), (905, [-0.0, 1.0]), (906, [0.0, 1.0]), (907, []), (None, rows[1][1])]
+
+
+@pytest.mark.parametrize("block", [8, 8192])
+def test_embedding_links_equal_brute_force(spark, monkeypatch, block):
+    rows = embedding_rows(1)
+    monkeypatch.setattr(embed_dup, "BLOCK", block)
+    monkeypatch.setattr(embed_dup, "TILE", 3)
+    df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id bigint, embedding array<float>, component int")
+    got = collections.Counter((r.vec_id, r.n_links, r.component_id, r.kept) for r in embed_dup.near_duplicates(df).collect())
+    n, component = linked_vectors(rows)
+    want = collections.Counter((k, x, c, k == c) for (k, _), x, c in zip(rows, n, component))
+    assert sum((got & want).values()) >= len(rows) - 1  # recall of the index
+    assert sum(r[1] * k for r, k in got.items()) <= sum(n)
     assert embed_dup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embedding_pairs_at_the_threshold_are_decided_in_double_precision(spark):
+    g = np.random.default_rng(3)
+    rows = []
+    for i in range(60):
+        x, u = g.normal(size=(2, 24))
+        x /= np.linalg.norm(x)
+        u -= (u @ x) * x
+        u /= np.linalg.norm(u)
+        cos = 0.95 + (i - 30) * 1e-7
+        rows += [(2 * i, x.tolist()), (2 * i + 1, (cos * x + np.sqrt(1 - cos * cos) * u).tolist())]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in embed_dup.near_duplicates(df).collect()}
+    assert got == dict(zip(range(120), linked_vectors(rows)[0]))
+
+
 def test_repeated_passages_go_and_clean_texts_stay(spark):
     r = random.Random(8)
     passage = prose(r, 51, 10**6)
@@ -385,6 +494,22 @@ def test_mixture_takes_prefixes_of_epochs(spark):
     assert mixture.mixed(docs.limit(0)).count() == 0
 
 
+def test_mixture_leaves_columns_alone_and_takes_hard_rows(spark):
+    rows = [(i, f"w{i} " * (i % 9), "en", f"src{i % 3}", "MINE", 9, 77) for i in range(60)] + [(None, "a b", None, None, None, None, None)] * 2 + [(5, "w5 " * 5, "en", "src2", "MINE", 9, 77), (61, "w " * 300_000, "de", "src9", "MINE", 9, 77)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, domain string, copies int, n_tokens int")
+    for leaves in (100_000, 1):
+        mixture.LEAVES, old = leaves, mixture.LEAVES
+        try:
+            out = mixture.mixed(docs, budget=1.999, epochs=2).collect()
+        finally:
+            mixture.LEAVES = old
+        seen = collections.Counter(map(tuple, out))
+        assert set(seen) <= set(rows) and all(r[4:] in (("MINE", 9, 77), (None, None, None)) for r in seen)
+        assert set(seen) == set(rows)
+    both = {r.doc_id: r.copies for r in mixture.copies(docs, mixture.domain_of(), mixture.WEIGHTS, budget=1.999).collect()}
+    assert all(seen[r] == (2 if rows.count(r) == 2 else 1) * both[r[0]] for r in rows)
+
+
 def test_license_siblings_are_told_apart(spark):
     r = random.Random(12)
     gnu = "This {0} is free software; you can redistribute it and/or modify it under the terms of the GNU {1} as published by the Free Software Foundation; either version {2} of the License, or (at your option) any later version."

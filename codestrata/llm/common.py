@@ -80,18 +80,25 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Words of an id filter: 2^15 longs are 2 million bits.
-FILTER_WORDS = 1 << 15
+#: The least and the most words of an id filter: 2^15 longs are 2 million bits, 2^20 are 8 MB.
+FILTER_WORDS, FILTER_MOST = 1 << 15, 1 << 20
+
+
+def filter_words(ids: int) -> int:
+    """8 bits an id at least, as long as the filter may grow."""
+    return min(FILTER_MOST, max(FILTER_WORDS, 1 << (ids // 8).bit_length()))
 
 
 def marked(df: DataFrame, ids: DataFrame, to: str = "maybe") -> DataFrame:
     """df with a boolean: whether a Bloom filter of the column doc_id of ids may hold the row's doc_id (null: false).
 
-    The filter has one hash and at most FILTER_WORDS rows of one long, whatever the number of ids, so it may be
-    broadcast. With more ids it lets more strangers through, never fewer members: it only saves a shuffle.
+    The filter has one hash and at most FILTER_MOST rows of one long, whatever the number of ids, so it may be
+    broadcast. With more ids it lets more strangers through, never fewer members: it only saves a shuffle. ids are
+    counted, so they should come from a table.
     """
     h = F.xxhash64("doc_id")
-    word, bit = F.pmod(F.shiftright(h, 6), F.lit(FILTER_WORDS)).cast("int"), F.pmod(h, F.lit(64)).cast("int")
+    size = filter_words(ids.count())
+    word, bit = F.pmod(F.shiftright(h, 6), F.lit(size)).cast("int"), F.pmod(h, F.lit(64)).cast("int")
     one = F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)
     words = ids.where("doc_id is not null").groupBy(word.alias("__word")).agg(F.bit_or(one).alias("__bits"))
     met = df.withColumn("__word", word).join(F.broadcast(words), "__word", "left")

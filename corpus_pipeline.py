@@ -16,28 +16,33 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one with the smallest doc_id."""
+    """One document of each group of near-duplicates stays: the one with the smallest doc_id. Null and empty texts and rows
+    without doc_id are linked with nothing and stay; of repeated rows with one doc_id all stay or go."""
     return near_dup.keep_one(docs, percent=80)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that an earlier document has too are cut out of the texts."""
+    """Passages that an earlier document has too, and keeps, are cut out of the texts; a document without a word left goes.
+    Null and empty texts, rows without doc_id and passages under 50 words stay as they are."""
     return substring_dup.remove(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: 0.8 of all tokens by the weights of mixture.WEIGHTS; a document may be taken twice."""
+    """The mix: 0.8 of all tokens by the weights of mixture.WEIGHTS; a document may be taken twice. Null domains, languages
+    and sources are leaves of their own, rows with one doc_id are taken together, and all columns stay as they are."""
     return mixture.mixed(docs, budget=0.8, epochs=2)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of every text's ids and of the text decoded from them."""
+    """Token counts and digests of every text's ids and of the text decoded from them; null and empty texts have none
+    and the digests of an empty string, repeated rows a row each."""
     return bpe.digest(docs)
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("substrings", substrings), ("mixing", mixing), ("encoding", encoding)]
 
-#: The stages' models and similarity joins are beyond SQL; tests hold them against brute force.
+#: The stages' models and similarity joins are beyond SQL; tests/llm/test_pipeline.py holds each stage against brute force on
+#: its own input.
 ORACLE_SQL = None
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -73,6 +74,7 @@ def tidy(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: lineage ends, a lost executor costs nothing."""
     spark = df.sparkSession
+    small_batches(spark)
     path = scratch_dir(spark, name)
     if _SCOPES:
         _SCOPES[-1].append((spark, path))
@@ -121,6 +123,33 @@ def slices(batch, columns: Iterable[str], chars: int = SLICE) -> Iterator[list[l
         yield [part.column(part.schema.get_field_index(n)).to_pylist() for n in names]
 
 
+#: Bytes of an Arrow batch between the JVM and a worker; both hold one or two at a time for every running task.
+BATCH = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's bound of an Arrow batch to BATCH bytes; a lower one stays. One row is never cut."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark.conf.get(name).rstrip("bB")
+    if not held.isdigit() or int(held) > BATCH:
+        spark.conf.set(name, str(BATCH))
+
+
+def giving_back(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run for mapInArrow; at a task's end what it has freed goes back to the machine, so that an idle worker holds little."""
+
+    def every(batches):
+        import pyarrow as pa
+
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            getattr(ctypes.CDLL(None), "malloc_trim", lambda _: None)(0)
+
+    return every
+
+
 def over_rows(df: DataFrame, columns: list[str], schema: str, fn: Callable[[], Callable[..., dict]], chars: int = SLICE) -> DataFrame:
     """mapInArrow by slices: fn() is called once a task and gives a function from column lists to a dict of arrays. A
     function with an attribute `close` has it called when the task ends."""
@@ -141,7 +170,8 @@ def over_rows(df: DataFrame, columns: list[str], schema: str, fn: Callable[[], C
         finally:
             getattr(work, "close", lambda: None)()
 
-    return df.select(*columns).mapInArrow(run, schema)
+    small_batches(df.sparkSession)
+    return df.select(*columns).mapInArrow(giving_back(run), schema)
 
 
 def words(text: str | None) -> list[bytes]:

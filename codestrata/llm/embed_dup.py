@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
-from .common import over_rows, stored, tidy
+from .common import giving_back, over_rows, stored, tidy
 from .components import components
 
 LIST, POSTED, SHARED = 8, 4, 2
@@ -192,7 +192,7 @@ def near_duplicates(table: DataFrame, least: float = 0.95) -> DataFrame:
                 if len(p):
                     yield pa.RecordBatch.from_arrays([pa.array(c[p]), pa.array(np.zeros(len(p), np.int64)), pa.array(c[q]), pa.array(np.zeros(len(p), bool))], names=names)
 
-    found = stored(met.mapInArrow(run, "a bigint, n bigint, b bigint, sure boolean"), "near")
+    found = stored(met.mapInArrow(giving_back(run), "a bigint, n bigint, b bigint, sure boolean"), "near")
     side = lambda k: classes.select(F.col("c").alias(k), F.col("v").alias(f"v_{k}"), F.col("n").alias(f"n_{k}")).hint("merge")
     open_ = found.where("not sure").select("a", "b").join(side("a"), "a").join(side("b"), "b")
 

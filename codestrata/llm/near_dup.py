@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashes_of, marked, mix, over_rows, shingles, stored, tidy, words
+from .common import giving_back, hashes_of, marked, mix, over_rows, shingles, stored, tidy, words
 from .components import components
 
 K = 5
@@ -244,7 +244,7 @@ def _blocks(banded: DataFrame, classes: DataFrame, found: DataFrame, how: tuple[
                 packed = np.array([(number[x], number[y]) for x, y in pairs], "<i4").tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array([block] * len(used), pa.int64()), pa.array([rows[k]["rep"] for k in used], pa.int64()), pa.array([rows[k]["component"] for k in used], pa.int64()), pa.array([packed] + [None] * (len(used) - 1), pa.binary())], names=["block", "rep", "component", "pairs"])
 
-    return dealt.mapInArrow(run, "block bigint, rep bigint, component bigint, pairs binary")
+    return dealt.mapInArrow(giving_back(run), "block bigint, rep bigint, component bigint, pairs binary")
 
 
 def _across(blocks: DataFrame, texts_for: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
@@ -280,7 +280,7 @@ def _across(blocks: DataFrame, texts_for: Callable[[DataFrame], DataFrame], perc
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
 
-    return met.mapInArrow(run, "a bigint, b bigint").distinct()
+    return met.mapInArrow(giving_back(run), "a bigint, b bigint").distinct()
 
 
 @tidy

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import over_rows, stored
+from .common import giving_back, over_rows, stored
 from .langid import held_out
 
 NAMES = ["length", "words", "word_length", "long_words", "upper", "digits", "marks", "stops", "exclaim", "lines", "variety", "top_word", "repeated_lines", "capital_words", "joined"]
@@ -101,7 +101,7 @@ def fit(labelled: DataFrame) -> Discriminant:
                         s = x[q == k].T @ x[q == k]
                         yield pa.RecordBatch.from_arrays([pa.array([k] * s.size, pa.int32()), pa.array(np.arange(s.size), pa.int32()), pa.array(map(Decimal, s.ravel().tolist()), pa.decimal128(38, 0))], names=["k", "i", "v"])
 
-    rows = labelled.where("quality in (0, 1)").select("x", F.col("quality").cast("int")).mapInArrow(run, "k int, i int, v decimal(38,0)")
+    rows = labelled.where("quality in (0, 1)").select("x", F.col("quality").cast("int")).mapInArrow(giving_back(run), "k int, i int, v decimal(38,0)")
     parts: dict[int, np.ndarray] = {}
     for r in rows.groupBy("k", "i").agg(F.sum("v").alias("v")).collect():
         parts.setdefault(r.k, np.zeros((D + 1) ** 2))[r.i] = int(r.v) / UNIT**2

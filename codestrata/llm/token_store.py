@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch_dir, slices
+from .common import giving_back, scratch_dir, slices, small_batches
 from .tokenize import word_bpe
 
 TOKENIZER = "word_bpe_49k.json"
@@ -168,8 +168,9 @@ def write(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: int =
             fs.move(temp, final)
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "file": [final], "docs": pa.array([len(writer.docs)], pa.int64()), "tokens": pa.array([tokens], pa.int64())})
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, schema)
+    return rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(giving_back(run), schema)
 
 
 def read(manifest: DataFrame, path: str) -> DataFrame:
@@ -205,7 +206,7 @@ def read(manifest: DataFrame, path: str) -> DataFrame:
                     if rows:
                         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return files.mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return files.mapInArrow(giving_back(run), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def round_trip(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID) -> DataFrame:

@@ -472,14 +472,13 @@ def delete_by_file(spark, d):
     return lookup.stats(store.delete_by_file(tables, tables["files"].where("file_id % 5 = 0")))
 
 
-@query("SELECT o_custkey, coalesce(n.status, o.status) AS status FROM (SELECT o_custkey, min(o_orderstatus) AS status FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1) o FULL JOIN (SELECT o_custkey, max(o_orderpriority) AS status FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1) n USING (o_custkey)")
+@query("SELECT coalesce(c_custkey, path_id) AS path_id, coalesce(priority, c_mktsegment) AS status FROM customer FULL JOIN (SELECT 2 * o_orderkey AS path_id, max(o_orderpriority) AS priority FROM orders GROUP BY 1) o ON c_custkey = path_id")
 def insert_or_update(spark, d):
-    """Customers as files by path: some are known, some new, some both."""
-    o = table(spark, d, "orders")
-    row = lambda df, value: df.groupBy("o_custkey").agg(value.alias("content_hash")).select(F.col("o_custkey").cast("string").alias("path"), F.lit("ts").alias("language"), "content_hash", F.lit(0.0).alias("mtime"), F.lit(0).cast("bigint").alias("size"))
-    old = row(o.where("o_orderkey % 2 = 0"), F.min("o_orderstatus")).withColumns({"file_id": F.col("path").cast("bigint"), "indexed_at": F.lit(0).cast("bigint")})
-    got = store.upsert_files(old, row(o.where("o_orderkey % 3 = 0"), F.max("o_orderpriority")), 1, scratch(spark, "upsert"))
-    return got.select(F.col("path").cast("bigint").alias("o_custkey"), F.col("content_hash").alias("status"))
+    """All customers as known files, all orders as files at every other path: some are known, some new, some both."""
+    row = lambda df, path, value: df.groupBy(path.cast("string").alias("path")).agg(F.max(value).alias("content_hash")).select("path", F.lit("ts").alias("language"), "content_hash", F.lit(0.0).alias("mtime"), F.lit(0).cast("bigint").alias("size"))
+    old = row(table(spark, d, "customer"), F.col("c_custkey"), "c_mktsegment").withColumns({"file_id": F.col("path").cast("bigint"), "indexed_at": F.lit(0).cast("bigint")})
+    got = store.upsert_files(old, row(table(spark, d, "orders"), 2 * F.col("o_orderkey"), "o_orderpriority"), 1, scratch(spark, "upsert"))
+    return got.select(F.col("path").cast("bigint").alias("path_id"), F.col("content_hash").alias("status"))
 
 
 @query("SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN d.source ELSE 'toxic ' || l.toxic END AS chunk_summary, CAST(coalesce(l.quality, -1) AS INTEGER) AS summary_tokens, CAST(CASE WHEN l.doc_id IS NULL THEN 4 ELSE 9 END AS BIGINT) AS summarized_at FROM documents d LEFT JOIN labels l USING (doc_id)")

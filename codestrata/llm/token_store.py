@@ -161,7 +161,6 @@ def write(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: int =
                     ids = bpe.encode(t) + end
                     tokens += len(ids) // 4
                     writer.add(d, ids)
-        bpe.forget()
         if out is not None:
             writer.close()
             out.close()

@@ -84,7 +84,7 @@ class WordBpe(Pieces):
     """
 
     def __init__(self, path: str):
-        super().__init__()
+        super().__init__(40 << 20)
         self.tok = _load(path)
         self.model, self.map = self.tok.model, byte_chars()
 

@@ -103,3 +103,13 @@ def test_stages_take_no_rows(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
     for _, stage in c.STAGES:
         assert stage(spark, docs, sf).count() == 0
+
+
+def test_substrings_cut_passages_whose_grams_come_first_in_unlike_documents(spark):
+    r = random.Random(41)
+    fresh = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    passage = fresh(80)
+    rows = [(d, " ".join([*fresh(60), *passage[10 * d : 10 * d + 20], *fresh(60)])) for d in range(7)]
+    rows += [(d, " ".join([*fresh(30), *passage, *fresh(30)])) for d in (7, 8)]
+    out = {x.doc_id: x.text for x in c.substrings(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), "").collect()}
+    assert {d for d, t in rows if out.get(d) != t} == {8} and not set(passage) & set(out[8].split())

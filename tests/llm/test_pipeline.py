@@ -113,3 +113,31 @@ def test_substrings_cut_passages_whose_grams_come_first_in_unlike_documents(spar
     rows += [(d, " ".join([*fresh(30), *passage, *fresh(30)])) for d in (7, 8)]
     out = {x.doc_id: x.text for x in c.substrings(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), "").collect()}
     assert {d for d, t in rows if out.get(d) != t} == {8} and not set(passage) & set(out[8].split())
+
+
+def test_stored_tables_leave_no_shuffle_files_and_passing_ones_go(spark):
+    import os
+    import time
+
+    from pyspark.sql import functions as F
+
+    from codestrata.llm.common import passing, stored
+
+    def files():
+        every = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {x for x in (every.apply(i).getName() for i in range(every.size())) if x.startswith("shuffle_")}
+
+    @passing
+    def last(df):
+        first = stored(df.groupBy((F.col("id") % 7).alias("k")).agg(F.count("id").alias("n")), "a")
+        return [stored(first.groupBy("n").agg(F.max("k").alias("k")), "b")], first.inputFiles()
+
+    before = files()
+    (out,), gone = passing(lambda df: [stored(df.groupBy("id").count(), "c")])(spark.range(100)), None
+    _, gone = last(spark.range(700))
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before
+    assert out.count() == 100 and gone and not any(os.path.exists(x.removeprefix("file://")) for x in gone)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, tidy
+from .common import FEW, stored, tidy
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -25,8 +25,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(id, component) of every vertex of links (a, b): the least vertex it can reach. Loops and repeats are allowed.
 
-    Each round writes its edges to the shared folder, so lineage stays short; rounds grow as the logarithm of the
-    longest chain, and only two sums a round reach the driver.
+    Each round writes its edges to the shared folder, so lineage stays short; a few edges are one task's. Rounds grow as
+    the logarithm of the longest chain, and only two sums a round reach the driver.
     """
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
     edges = stored(edges, "edges")
@@ -36,6 +36,8 @@ def components(links: DataFrame) -> DataFrame:
         if state == before or not state[0]:
             break
         before = state
+        if state[0] <= FEW:
+            edges = edges.coalesce(1)
         edges = stored(_star(_star(edges, True), False), "edges")
     roots = edges.select(F.col("v").alias("id")).distinct().withColumn("component", F.col("id"))
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionAll(roots)

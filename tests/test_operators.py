@@ -166,6 +166,24 @@ def test_call_chain_walks_all_order_lines(spark, sf):
     assert sorted(got) == sorted(want) and max(r[1] for r in want) > 100
 
 
+@pytest.mark.parametrize("walk", [0, 60])
+def test_call_chains_beyond_one_task_equal_the_walk(spark, monkeypatch, walk):
+    monkeypatch.setattr(graph, "WALK", walk)  # 60: the callers' own calls fit in one task, all calls don't
+    r = random.Random(8)
+    edges = [(r.randrange(12), r.choice([r.randrange(12), 20 + r.randrange(60), 20 + r.randrange(60)])) for _ in range(160)]
+    calls = spark.createDataFrame([(i // 2, a, b) for i, (a, b) in enumerate(edges)], "call_id bigint, caller_symbol_id bigint, callee_symbol_id bigint")
+    symbols = spark.range(0, 78).select(F.col("id").alias("symbol_id"))  # 78 and 79 are no symbols
+    adjacency = {}
+    for _, a, b in sorted((i // 2, a, b) for i, (a, b) in enumerate(edges)):
+        if b < 78:
+            adjacency.setdefault(a, {}).setdefault(b)
+    adjacency = {k: list(v) for k, v in adjacency.items()}
+    roots = spark.createDataFrame([(0,), (1,), (50,)], "root bigint")
+    want = [x for root in (0, 1, 50) for x in graph.depth_first(adjacency, root, 3)]
+    got = [tuple(x) for x in graph.call_chain(calls, symbols, roots, lambda df, n: df.persist(), "forward", 3).collect()]
+    assert sorted(got) == sorted(want) and max(x[3] for x in want) == 3
+
+
 def test_batch_search_equals_brute_force_over_cells(spark, monkeypatch):
     from codestrata.operators import search
 
